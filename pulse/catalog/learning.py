@@ -161,7 +161,7 @@ def rule_class_accuracy(t: Tables) -> DataFrame:
 def award_rows(t: Tables) -> DataFrame:
     balanced = training.award_set(award_comments(t), SEED)
     rows = training.award_features(balanced, post_time(), POSITIVE, NEGATIVE)
-    return stage(rows, t.scratch("award"))
+    return stage(rows.hint("rebalance"), t.scratch("award"))
 
 
 def _tuned(t: Tables, kinds: tuple[str, ...]) -> DataFrame:
@@ -185,8 +185,9 @@ def deleted_rows(t: Tables) -> DataFrame:
         t.comments, F.year(post_time()), 2021, NEGATIVE, POSITIVE, NEGATIVE, SEED
     )
     # a planted signal: "deleted" is read from the label that also sets controversiality
-    return stage(rows.drop("controversiality").withColumn("controversiality", F.lit(0)),
-                 t.scratch("deleted"))
+    # and is no feature here
+    features = rows.withColumn("controversiality", F.lit(0))
+    return stage(features.hint("rebalance"), t.scratch("deleted"))
 
 
 @query("C34 C35 U6 M5 M7 M8 E1 E4")
@@ -211,10 +212,10 @@ def model_class_accuracy(t: Tables) -> DataFrame:
 
 @query("C36 M12 O4")
 def model_round_trip(t: Tables) -> DataFrame:
-    train, _, held_out = training.deleted_splits(deleted_rows(t), SEED)
+    train, test, _ = training.deleted_splits(deleted_rows(t), SEED)
     model = training.deleted_models(train, ["boosted"])["boosted"]
     again = learning.load_model(learning.save(model, t.scratch("model")))
-    return again.transform(held_out).select("id", "deleted", "predicted").limit(10)
+    return again.transform(test).select("id", "deleted", "predicted").limit(10)
 
 
 @query("T18 C32", None)

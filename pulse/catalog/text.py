@@ -195,7 +195,9 @@ FROM df WHERE df >= 5""")
 def term_idf(t: Tables) -> DataFrame:
     tokens = words.clean_tokens(F.col("body"))
     counts = terms.term_counts(t.posts, "id", tokens)
-    return terms.inverse_frequency(counts, t.posts, min_docs=5).withColumn("idf", F.round("idf", 6))
+    return terms.inverse_frequency(counts, t.posts, min_docs=5).select(
+        "term", "df", F.round("idf", 6).alias("idf")
+    )
 
 
 @query("T10 T11 J6 X21 F1", f"""WITH {LONG},

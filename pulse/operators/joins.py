@@ -12,8 +12,17 @@ SALTS = 16
 _SALT = "join_salt"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str],
+                   how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet, so a group without a key keeps its rows."""
+    names = {c: f"right_{c}" for c in on}
+    meets = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
+    joined = left.join(right.withColumnsRenamed(names), meets, how)
+    return joined.drop(*names.values())
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str],
-                how: str = "inner", salts: int = SALTS) -> DataFrame:
+                how: str = "inner", salts: int = SALTS, null_safe: bool = False) -> DataFrame:
     """Join with each key split over ``salts`` partitions.
 
     The left side, which may be skewed, gets a salt from the ``spread`` columns
@@ -26,9 +35,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Se
         raise ValueError(f"a {how} join cannot copy its right side")
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return left.withColumn(_SALT, salt).join(
-        right.withColumn(_SALT, copies), [*on, _SALT], how
-    ).drop(_SALT)
+    salted, copied = left.withColumn(_SALT, salt), right.withColumn(_SALT, copies)
+    if null_safe:
+        return null_safe_join(salted, copied, [*on, _SALT], how).drop(_SALT)
+    return salted.join(copied, [*on, _SALT], how).drop(_SALT)
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str],

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulse.operators.joins import null_safe_join
+
 RANGES = 64
 
 
@@ -26,9 +28,14 @@ def _ranged(hist: DataFrame, ranges: int) -> DataFrame:
     """Add the number of the value range. Cuts only steer the work: any cuts give
     the same quantiles, good ones give ranges of equal length."""
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = hist.agg(F.percentile_approx("value", shares, 10_000).alias("cuts")).scalar()
-    return hist.withColumn("cuts", cuts).withColumn(
-        "range", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
+    # the unused total keeps the counts in this plan, which then shares its shuffle
+    # with the main one instead of scanning the input again
+    cuts = hist.agg(F.struct(
+        F.percentile_approx("value", shares, 10_000).alias("cuts"), F.sum("n").alias("total")
+    )).scalar()
+    return hist.withColumn("cuts", cuts["cuts"]).withColumn(
+        # never NULL, or the join on it would filter every input row by this expression
+        "range", F.coalesce(F.size(F.filter("cuts", lambda cut: cut < F.col("value"))), F.lit(0))
     ).drop("cuts")
 
 
@@ -39,14 +46,9 @@ def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
     return low, F.ceil(place), place - low
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
-                    by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
-    """Linear-interpolated quantiles, one named column each, per key or overall."""
-    by = list(by)
-    keys = by or ["all_rows"]
-    hist = _histogram(df, column, by)
-    if not by:
-        hist = hist.withColumn("all_rows", F.lit(1))
+def _from_histogram(hist: DataFrame, probs: Mapping[str, float], keys: Sequence[str],
+                    ranges: int) -> DataFrame:
+    """Quantiles per key of a (keys, value, n) table."""
     hist = _ranged(hist, ranges)
 
     # at most `ranges` rows per key
@@ -75,7 +77,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
     )
     last = F.col("start") + F.col("upto")
     hits = (
-        hist.join(targets, [*keys, "range"])
+        null_safe_join(hist, targets, [*keys, "range"])
         .withColumn("upto", F.sum("n").over(upto))
         .withColumn("hits", F.filter(
             "wanted", lambda w: (w["rank"] >= last - F.col("n")) & (w["rank"] < last)
@@ -92,8 +94,17 @@ def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
         low, high = side("low"), side("high")
         return (low + (high - low) * weight).alias(name)
 
-    result = hits.groupBy(*keys).agg(*[quantile(name) for name in probs])
-    return result if by else result.drop("all_rows")
+    return hits.groupBy(*keys).agg(*[quantile(name) for name in probs])
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
+                    by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """Linear-interpolated quantiles, one named column each, per key or overall."""
+    hist = _histogram(df, column, by)
+    if by:
+        return _from_histogram(hist, probs, list(by), ranges)
+    whole = hist.withColumn("all_rows", F.lit(1))
+    return _from_histogram(whole, probs, ["all_rows"], ranges).drop("all_rows")
 
 
 def approx_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
@@ -109,17 +120,31 @@ def approx_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
 REPORT_PROBS = {"q1": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "q99": 0.99}
 
 
-def quantile_report(df: DataFrame, column: str, by: Sequence[str],
+def quantile_report(df: DataFrame, columns: Sequence[str], by: str,
                     approx: bool = False) -> DataFrame:
-    """Minimum, quantiles, mean to two places and maximum of one column per key."""
-    quantiles = (approx_quantiles if approx else exact_quantiles)(df, column, REPORT_PROBS, by)
-    ends = df.groupBy(*by).agg(
-        F.min(column).cast("double").alias("min"),
-        F.round(F.avg(column), 2).alias("mean"),
-        F.max(column).cast("double").alias("max"),
+    """Minimum, quantiles, mean to two places and maximum of each column per period.
+
+    All columns share one pass: their values are counted into one histogram, and
+    ends and means come from it as well.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature_name"), F.col(c).cast("double").alias("value"))
+        for c in columns
+    ])
+    long = df.select(by, F.inline(cells))
+    keys = ["feature_name", by]
+    hist = _histogram(long, "value", keys)
+    ends = hist.groupBy(*keys).agg(
+        F.min("value").alias("min"),
+        F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 2).alias("mean"),
+        F.max("value").alias("max"),
+    )
+    quantiles = (
+        approx_quantiles(long, "value", REPORT_PROBS, keys) if approx
+        else _from_histogram(hist, REPORT_PROBS, keys, RANGES)
     )
-    return ends.join(quantiles, list(by)).select(
-        *by, "min", "q1", "q25", "median", "mean", "q75", "q99", "max"
+    return null_safe_join(ends, quantiles, keys).select(
+        *keys, "min", "q1", "q25", "median", "mean", "q75", "q99", "max"
     )
 
 

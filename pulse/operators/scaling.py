@@ -33,7 +33,8 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
             c: _scaled(F.col(c), ends.select(f"lo_{c}").scalar(), ends.select(f"hi_{c}").scalar())
             for c in columns
         })
-    joined = salted_join(df, ends, list(by), list(spread) or list(columns), "left")
+    joined = salted_join(df, ends, list(by), list(spread) or list(columns), "left",
+                         null_safe=True)
     return joined.withColumns(
         {c: _scaled(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in columns}
     ).select(df.columns)

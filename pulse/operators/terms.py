@@ -12,12 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.operators.activity import top_n_within
-from pulse.operators.joins import lookup_join, salted_join
+from pulse.operators.joins import lookup_join, null_safe_join, salted_join
+
+HOT_SHARE = 0.01
 
 
 def token_rows(df: DataFrame, tokens: Column, keep: Sequence[str]) -> DataFrame:
-    """One row per token."""
-    return df.select(*keep, F.explode(tokens).alias("term"))
+    """One row per token.
+
+    The outer form keeps the optimiser from adding a filter on the array size,
+    which would run the whole token expression a second time.
+    """
+    return df.select(*keep, F.explode_outer(tokens).alias("term")).filter(
+        F.col("term").isNotNull()
+    )
 
 
 def lemmatise_rows(rows: DataFrame, lemmas: DataFrame, spread: Sequence[str]) -> DataFrame:
@@ -69,42 +77,63 @@ def inverse_frequency(counts: DataFrame, docs: DataFrame, by: Sequence[str] = ()
                       min_docs: int = 1) -> DataFrame:
     """df and ln((N + 1) / (df + 1)) per term, N being all documents of the period."""
     by = list(by)
-    frequency = counts.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    # counting over tf keeps it in this plan, which then shares the shuffle of the
+    # counts with other uses instead of reading the texts again
+    frequency = counts.groupBy(*by, "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     if min_docs > 1:
         frequency = frequency.filter(F.col("df") >= min_docs)
     sizes = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"))
     if by:
-        sized = salted_join(frequency, sizes, by, ["term"])
+        sized = salted_join(frequency, sizes, by, ["term"], null_safe=True)
     else:
         sized = frequency.withColumn("n_docs", sizes.scalar())
-    return sized.withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1))).drop("n_docs")
+    return sized.withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)))
 
 
 def tf_idf(df: DataFrame, doc: str, tokens: Column, by: Sequence[str] = (),
            min_docs: int = 1) -> DataFrame:
     """TF-IDF of each (document, term).
 
-    A common term is a hot join key held by most documents, so the join splits
-    each term by document.
+    A common term is a hot join key held by most documents. Terms found in at
+    least HOT_SHARE of a period's documents therefore travel to the counts
+    instead: a document of w different words adds at most w / (HOT_SHARE * N) to
+    the number of such terms, so there are no more than (mean distinct words per
+    document) / HOT_SHARE of them per period, however many documents there are.
+    What remains has no hot key and takes a plain shuffle join.
     """
+    keys = [*by, "term"]
     counts = term_counts(df, doc, tokens, by)
     idf = inverse_frequency(counts, df, by, min_docs)
-    return salted_join(counts, idf, [*by, "term"], [doc]).withColumn(
-        "tf_idf", F.col("tf") * F.col("idf")
+    is_hot = F.col("df") >= F.col("n_docs") * HOT_SHARE
+    hot = F.broadcast(idf.filter(is_hot).drop("n_docs"))
+    rare = idf.filter(~is_hot).drop("n_docs")
+    join = null_safe_join if by else _plain_join
+    # one outer join for both branches: a semi or anti join would sink below the
+    # counts and make each branch count on its own
+    marked = join(counts, hot, keys, "left")
+    weighted = marked.filter(F.col("df").isNotNull()).unionByName(
+        join(marked.filter(F.col("df").isNull()).drop("df", "idf"), rare, keys)
     )
+    return weighted.withColumn("tf_idf", F.col("tf") * F.col("idf"))
+
+
+def _plain_join(left: DataFrame, right: DataFrame, on: Sequence[str],
+                how: str = "inner") -> DataFrame:
+    return left.join(right, list(on), how)
 
 
 def best_terms(weights: DataFrame, doc: str, by: Sequence[str] = ()) -> DataFrame:
     """The key word of each document: highest TF-IDF, then document frequency, then term.
 
-    Documents without terms, or whose best weight is 0, have none.
+    Documents without terms, or whose best weight is 0, have none. A document
+    belongs to one period, which therefore rides along and is no grouping key.
     """
     order = F.struct(
-        (-F.col("tf_idf")).alias("weight"), (-F.col("df")).alias("df"), F.col("term").alias("term")
+        (-F.col("tf_idf")).alias("weight"), (-F.col("df")).alias("df"), "term", *by
     )
-    return weights.groupBy(*by, doc).agg(F.min(order).alias("best")).filter(
+    return weights.groupBy(doc).agg(F.min(order).alias("best")).filter(
         F.col("best.weight") < 0
-    ).select(*by, doc, F.col("best.term").alias("term"))
+    ).select(*[F.col("best")[c].alias(c) for c in by], doc, F.col("best.term").alias("term"))
 
 
 def key_terms(df: DataFrame, doc: str, tokens: Column, by: Sequence[str] = (),

@@ -11,7 +11,6 @@ from pulse.functions.keywords import TOPIC_WORDS, keyword_columns, topic_flag
 from pulse.functions.text import STOP_WORDS, clean_tokens
 from pulse.operators.activity import count_by, flag_rates, top_n_within
 from pulse.operators.quantiles import approx_quantiles, exact_quantiles, quantile_report
-from pulse.operators.sampling import stack_tagged
 from pulse.operators.sentiment import NEGATIVE, POSITIVE, sentiment_class
 from pulse.operators.terms import corpus_terms, key_terms, top_terms
 
@@ -59,10 +58,10 @@ def score_band(df: DataFrame, score: str, low: float, high: float,
 def feature_report(df: DataFrame, measures: Sequence[str], rates: Sequence[str],
                    by: str = "year", approx: bool = False) -> DataFrame:
     """Quantile rows for each measure and share rows for each 0/1 column, per period."""
-    reports = {m: quantile_report(df, m, [by], approx) for m in measures}
-    for r in rates:
-        reports[r] = df.groupBy(by).agg(F.avg(r).alias("percentage"))
-    return stack_tagged(reports, "feature_name")
+    shares = df.groupBy(by).agg(*[F.avg(r).alias(r) for r in rates]).unpivot(
+        by, list(rates), "feature_name", "percentage"
+    )
+    return quantile_report(df, measures, by, approx).unionByName(shares, allowMissingColumns=True)
 
 
 def top_words(df: DataFrame, body: str, year: Column, n: int = 300,
