@@ -37,8 +37,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Se
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salted, copied = left.withColumn(_SALT, salt), right.withColumn(_SALT, copies)
     if null_safe:
-        return null_safe_join(salted, copied, [*on, _SALT], how).drop(_SALT)
-    return salted.join(copied, [*on, _SALT], how).drop(_SALT)
+        joined = null_safe_join(salted, copied, [*on, _SALT], how)
+    else:
+        joined = salted.join(copied, [*on, _SALT], how)
+    added = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in on]
+    return joined.select(*left.columns, *added)
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str],
