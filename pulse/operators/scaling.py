@@ -11,9 +11,9 @@ from pulse.operators.joins import salted_join
 
 
 def _scaled(value: Column, low: Column, high: Column) -> Column:
-    return F.when(high == low, F.lit(0.0)).when(
-        value.isNotNull(), (value - low) / (high - low)
-    )
+    return F.when(value.isNotNull(), F.when(high == low, F.lit(0.0)).otherwise(
+        (value - low) / (high - low)
+    ))
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
