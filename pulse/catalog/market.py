@@ -11,6 +11,7 @@ from pulse.catalog.base import POSTS, Tables, post_time, query, sql_series
 from pulse.operators import series
 from pulse.operators.activity import daily_counts
 from pulse.plans import market
+from pulse.sources.sinks import stage
 
 SEED_DAY, START = dt.date(1995, 1, 2), dt.date(1995, 1, 3)
 INDEXES = (("F", "index_f"), ("O", "index_o"), ("P", "index_p"))
@@ -133,7 +134,8 @@ def flagged_daily(t: Tables) -> DataFrame:
 FROM orders LEFT JOIN filled ON filled.date = CAST(o_orderdate AS DATE)""")
 def enriched_rows(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    filled = market.market_series(*_indexes(t)).select("date", "index_f")
+    # staged: the size check of the lookup then reads a short table
+    filled = stage(market.market_series(*_indexes(t)).select("date", "index_f"), t.scratch("index"))
     return series.enrich_by_date(rows, filled, ["o_orderkey"])
 
 

@@ -224,12 +224,13 @@ def array_maximum(t: Tables) -> DataFrame:
     )
 
 
-@query("X24", """SELECT o_orderkey, round(o_totalprice / 1000, 2) AS thousands,
+@query("X24", """SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)), 1) AS DOUBLE) AS tenths,
 abs(1 - o_totalprice) AS distance FROM orders""")
 def arithmetic(t: Tables) -> DataFrame:
     price = F.col("o_totalprice")
     return t.orders.select(
-        "o_orderkey", F.round(price / 1000, 2).alias("thousands"),
+        # halves round alike in every engine once the value is a decimal
+        "o_orderkey", F.round(price.cast("decimal(18,2)"), 1).cast("double").alias("tenths"),
         F.abs(1 - price).alias("distance"),
     )
 

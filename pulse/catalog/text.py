@@ -21,6 +21,7 @@ from pulse.catalog.market import FILLED, POST_DAYS, recent_series
 from pulse.functions import text as words
 from pulse.functions.keywords import keyword_columns, overlaps_any
 from pulse.operators import learning, quantiles, terms
+from pulse.operators.cleaning import computed_once
 from pulse.operators.sentiment import sentiment_from_table
 from pulse.plans import market, text
 from pulse.sources.readers import local_lookup
@@ -104,7 +105,7 @@ def score_band(t: Tables) -> DataFrame:
     return text.score_band(t.posts, "score", 0.95, 0.99).select("id", "score")
 
 
-_Q = ", ".join(f"quantile_cont({{0}}, {p}) AS {name}" for name, p in (
+_Q = ", ".join(f"round(quantile_cont({{0}}, {p}), 6) AS {name}" for name, p in (
     ("q1", 0.01), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q99", 0.99)))
 
 
@@ -126,7 +127,9 @@ def quantile_report(t: Tables) -> DataFrame:
         _year().alias("year"), F.size(words.clean_tokens(F.col("body"))).alias("n_words"), "score",
         "controversiality",
     )
-    return text.feature_report(measured, ["n_words", "score"], ["controversiality"])
+    report = text.feature_report(measured, ["n_words", "score"], ["controversiality"])
+    # six places: the last bit of an interpolation depends on the engine
+    return report.withColumns({q: F.round(q, 6) for q in quantiles.REPORT_PROBS})
 
 
 @query("C24 T8 A17 O1", f"""WITH {CLEAN} SELECT CAST(len(w) AS INTEGER) AS length, COUNT(*) AS n
@@ -200,7 +203,7 @@ def term_idf(t: Tables) -> DataFrame:
     )
 
 
-@query("T10 T11 J6 X21 F1", f"""WITH {LONG},
+@query("T10 T11 J6 F1", f"""WITH {LONG},
 tf AS (SELECT id, term, COUNT(*) AS tf FROM rows GROUP BY ALL),
 df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY 1 HAVING COUNT(*) >= 20)
 SELECT id, term AS word, CAST(tf AS DOUBLE) AS tf,
@@ -209,14 +212,14 @@ def vectorised_terms(t: Tables) -> DataFrame:
     """The same weights from MLlib vectors, decoded with the vocabulary of their own model."""
     rows = t.posts.select("id", words.clean_tokens(F.col("body")).alias("tokens"))
     model = Pipeline(stages=learning.count_stages("tokens", minDF=20.0)).fit(rows)
-    vectors = model.transform(rows).select(
-        "id", vector_to_array("counts").alias("tf"), vector_to_array("weights").alias("w")
+    vocabulary, idf = model.stages[0].vocabulary, model.stages[1].idf.toArray().tolist()
+    counts = terms.vector_cells(model.transform(rows), "counts", ["id"])
+    words_of = terms.decode_index(counts, "index", vocabulary)
+    weights = local_lookup(t.spark, list(enumerate(idf)), "index int, idf double")
+    return words_of.join(weights, ["index"]).select(
+        "id", "word", F.col("value").alias("tf"),
+        F.round(F.col("value") * F.col("idf"), 6).alias("weight"),
     )
-    cells = vectors.select("id", F.posexplode(F.arrays_zip("tf", "w")).alias("index", "cell"))
-    used = cells.filter(F.col("cell.tf") > 0).select(
-        "id", "index", F.col("cell.tf").alias("tf"), F.round("cell.w", 6).alias("weight")
-    )
-    return terms.decode_index(used, "index", model.stages[0].vocabulary).drop("index")
 
 
 @query("T1", f"""WITH {POSTS} SELECT id, CAST(len(list_filter(
@@ -230,9 +233,8 @@ def sentence_counts(t: Tables) -> DataFrame:
 CAST(len(w) AS INTEGER) AS n_clean, md5(array_to_string(w, ' ')) AS clean_digest FROM clean""")
 def clean_text(t: Tables) -> DataFrame:
     body = F.col("body")
-    return t.posts.select(
-        "id", F.size(words.tokens(body)).alias("n_raw"), words.clean_tokens(body).alias("w")
-    ).select(
+    raw = t.posts.select("id", "body", F.size(words.tokens(body)).alias("n_raw"))
+    return computed_once(raw, "w", words.clean_tokens(body)).select(
         "id", "n_raw", F.size("w").alias("n_clean"),
         F.md5(words.joined(F.col("w"))).alias("clean_digest"),
     )
@@ -260,7 +262,7 @@ def lemmatised_text(t: Tables) -> DataFrame:
     )
 
 
-@query("T7")
+@query("T7 X21")
 def document_vectors(t: Tables) -> DataFrame:
     rows = t.posts.select("id", words.clean_tokens(F.col("body")).alias("tokens"))
     vectors = learning.fit_vectors(rows, "tokens", size=16).transform(rows)

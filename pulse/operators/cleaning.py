@@ -42,6 +42,16 @@ def sparse_columns(df: DataFrame, max_share: float) -> list[str]:
     return [c for c in df.columns if row["n_rows"] and row[c] / row["n_rows"] > max_share]
 
 
+def computed_once(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """Add a column whose expression runs once per row however often it is used.
+
+    The optimiser copies the expression of a plain column into every filter and
+    projection above it. A one-element generator stands in the way of that,
+    which pays for expensive expressions such as cleaned tokens.
+    """
+    return df.select("*", F.explode_outer(F.array(expression)).alias(name))
+
+
 def prune(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*columns)
 

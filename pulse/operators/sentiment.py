@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.operators.joins import lookup_join
+from pulse.operators.terms import numbered_tokens
 
 # A small general lexicon; pass your own for real work.
 POSITIVE = (
@@ -23,9 +24,10 @@ NEGATIVE = (
 
 
 def _class(n_tokens: Column, score: Column) -> Column:
-    return (
-        F.when(n_tokens == 0, "").when(score > 0, "positive").when(score < 0, "negative")
-        .otherwise("neutral")
+    # picked by sign, so that the score is evaluated once
+    names = F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive"))
+    return F.when(n_tokens == 0, "").otherwise(
+        F.element_at(names, (F.signum(score) + 2).cast("int"))
     )
 
 
@@ -40,7 +42,7 @@ def sentiment_class(tokens: Column, positive: Sequence[str] = POSITIVE,
 
 def sentiment_from_table(df: DataFrame, doc: str, tokens: str, lexicon: DataFrame) -> DataFrame:
     """Class from a lexicon table (term, weight), for lexicons too large for a list."""
-    rows = df.select(doc, F.posexplode(tokens).alias("place", "term"))
+    rows = numbered_tokens(df, doc, tokens)
     scores = lookup_join(rows, lexicon, ["term"], [doc, "place"], "inner").groupBy(doc).agg(
         F.sum("weight").alias("score")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulse.operators.activity import top_n_within
 from pulse.operators.joins import lookup_join, null_safe_join, salted_join
 
-HOT_SHARE = 0.01
+HOT_TERMS = 100_000
 
 
 def token_rows(df: DataFrame, tokens: Column, keep: Sequence[str]) -> DataFrame:
@@ -28,6 +28,13 @@ def token_rows(df: DataFrame, tokens: Column, keep: Sequence[str]) -> DataFrame:
     )
 
 
+def numbered_tokens(df: DataFrame, doc: str, tokens: str) -> DataFrame:
+    """One row per token with its place in the text."""
+    return df.select(doc, F.posexplode_outer(tokens).alias("place", "term")).filter(
+        F.col("place").isNotNull()
+    )
+
+
 def lemmatise_rows(rows: DataFrame, lemmas: DataFrame, spread: Sequence[str]) -> DataFrame:
     """Replace each term by its lemma; ``lemmas`` has the columns token and lemma."""
     table = lemmas.select(F.col("token").alias("term"), "lemma")
@@ -38,7 +45,7 @@ def lemmatise_rows(rows: DataFrame, lemmas: DataFrame, spread: Sequence[str]) ->
 
 def lemmatise(df: DataFrame, doc: str, tokens: str, lemmas: DataFrame) -> DataFrame:
     """Replace the tokens of an array by their lemmas, order kept."""
-    rows = df.select(doc, F.posexplode(tokens).alias("place", "term"))
+    rows = numbered_tokens(df, doc, tokens)
     changed = lemmatise_rows(rows, lemmas, [doc, "place"])
     arrays = changed.groupBy(doc).agg(
         F.array_sort(F.collect_list(F.struct("place", "term"))).alias("ordered")
@@ -94,19 +101,19 @@ def tf_idf(df: DataFrame, doc: str, tokens: Column, by: Sequence[str] = (),
            min_docs: int = 1) -> DataFrame:
     """TF-IDF of each (document, term).
 
-    A common term is a hot join key held by most documents. Terms found in at
-    least HOT_SHARE of a period's documents therefore travel to the counts
-    instead: a document of w different words adds at most w / (HOT_SHARE * N) to
-    the number of such terms, so there are no more than (mean distinct words per
-    document) / HOT_SHARE of them per period, however many documents there are.
-    What remains has no hot key and takes a plain shuffle join.
+    A common term is a hot join key held by most documents, so it is kept out of
+    the shuffle join. A term is hot when it holds at least one part in HOT_TERMS
+    of all rows: there can be no more than HOT_TERMS such terms whatever the
+    data, so they are broadcast, and every other term is at most that one part
+    of the shuffle.
     """
     keys = [*by, "term"]
     counts = term_counts(df, doc, tokens, by)
     idf = inverse_frequency(counts, df, by, min_docs)
-    is_hot = F.col("df") >= F.col("n_docs") * HOT_SHARE
-    hot = F.broadcast(idf.filter(is_hot).drop("n_docs"))
-    rare = idf.filter(~is_hot).drop("n_docs")
+    all_rows = idf.agg(F.sum("df")).scalar()
+    split = idf.drop("n_docs").withColumn("is_hot", F.col("df") * HOT_TERMS >= all_rows)
+    hot = F.broadcast(split.filter("is_hot").drop("is_hot"))
+    rare = split.filter(~F.col("is_hot")).drop("is_hot")
     join = null_safe_join if by else _plain_join
     # one outer join for both branches: a semi or anti join would sink below the
     # counts and make each branch count on its own
@@ -151,6 +158,18 @@ def decode_index(df: DataFrame, index: str, vocabulary: Sequence[str],
     return df.join(table, [index], "left")
 
 
+def vector_cells(df: DataFrame, vector: str, keep: Sequence[str]) -> DataFrame:
+    """The stored cells of sparse vectors, one row per index; zeros never appear."""
+    sparse = F.unwrap_udt(vector)
+    return df.select(
+        *keep, F.explode_outer(F.arrays_zip(
+            sparse["indices"].alias("index"), sparse["values"].alias("value")
+        )).alias("cell"),
+    ).filter(F.col("cell").isNotNull()).select(
+        *keep, F.col("cell.index").alias("index"), F.col("cell.value").alias("value")
+    )
+
+
 def mean_vectors(df: DataFrame, vector: str, label: str) -> DataFrame:
     """Element-wise mean per label, one row per label and dimension."""
     return df.select(label, F.posexplode(vector).alias("dim", "x")).groupBy(label, "dim").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulse.functions.keywords import TOPIC_WORDS, keyword_columns, topic_flag
 from pulse.functions.text import STOP_WORDS, clean_tokens
 from pulse.operators.activity import count_by, flag_rates, top_n_within
+from pulse.operators.cleaning import computed_once
 from pulse.operators.quantiles import approx_quantiles, exact_quantiles, quantile_report
 from pulse.operators.sentiment import NEGATIVE, POSITIVE, sentiment_class
 from pulse.operators.terms import corpus_terms, key_terms, top_terms
@@ -85,7 +86,7 @@ def key_words(df: DataFrame, doc: str, body: str, period: Column, n: int | None
 def with_sentiment(df: DataFrame, body: str, positive: Sequence[str] = POSITIVE,
                    negative: Sequence[str] = NEGATIVE, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Clean tokens, their number and the sentiment class of each text."""
-    return df.withColumn("tokens", clean_tokens(F.col(body), stop)).withColumns({
+    return computed_once(df, "tokens", clean_tokens(F.col(body), stop)).withColumns({
         "length_of_body": F.size("tokens"),
         "sentiment_class": sentiment_class(F.col("tokens"), positive, negative),
     })

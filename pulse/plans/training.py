@@ -21,7 +21,7 @@ from pulse.functions.values import (
     is_edited,
 )
 from pulse.operators import evaluation, learning
-from pulse.operators.cleaning import drop_incomplete, drop_matching, drop_tombstones
+from pulse.operators.cleaning import computed_once, drop_incomplete, drop_matching, drop_tombstones
 from pulse.operators.sampling import balance, hash_split
 from pulse.operators.sentiment import sentiment_class
 from pulse.sources.sinks import cached
@@ -53,7 +53,7 @@ def award_features(balanced: DataFrame, time: Column, positive: Sequence[str],
                    negative: Sequence[str]) -> DataFrame:
     """Time, length and sentiment features, and the clean text, in one projection."""
     parts = calendar_parts(time)
-    return balanced.withColumn("clean", clean_tokens(F.col("body"))).withColumns({
+    return computed_once(balanced, "clean", clean_tokens(F.col("body"))).withColumns({
         "hour": parts["hour"],
         "day_of_week": parts["day_of_week"],
         "edited": is_edited(F.col("edited")),
@@ -79,8 +79,8 @@ def deleted_set(comments: DataFrame, year: Column, wanted_year: int, frequent_wo
     )
     rows = balance(known, "deleted", "id", seed).filter(year == wanted_year)
     removed = F.col("body") == REMOVED
-    words = clean_tokens(F.col("body"))
-    return rows.withColumns({"removed_by_mod": removed, "words": words}).select(
+    marked = computed_once(rows, "words", clean_tokens(F.col("body")))
+    return marked.withColumn("removed_by_mod", removed).select(
         "id", "controversiality", is_edited(F.col("edited")).alias("edited"), "gilded",
         "is_submitter", "score", "stickied", "removed_by_mod",
         F.when(F.col("removed_by_mod"), UNKNOWN).otherwise(

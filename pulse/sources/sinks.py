@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-ROWS_PER_CSV_FILE = 1_000_000
+ROWS_PER_CSV_FILE = 100_000
 
 
 def stage(df: DataFrame, path: str, partition_by: Sequence[str] = (),
@@ -17,8 +17,11 @@ def stage(df: DataFrame, path: str, partition_by: Sequence[str] = (),
 
     The written table cuts the lineage: a lost executor re-reads files instead
     of recomputing everything upstream. Partition by low-cardinality columns
-    only (year, month), never by group or author.
+    only (year, month), never by group or author; the rows are then rebalanced
+    so that a folder gets few, evenly sized files however skewed it is.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 

@@ -32,9 +32,9 @@ def brute_key_terms(rows):
     return result
 
 
-@pytest.mark.parametrize("share", [0.0, 0.01, 0.6, 2.0])
-def test_key_terms_match_brute_force_wherever_hot_begins(spark, docs, monkeypatch, share):
-    monkeypatch.setattr(terms, "HOT_SHARE", share)
+@pytest.mark.parametrize("hot_terms", [0, 2, 5, 100_000])
+def test_key_terms_match_brute_force_wherever_hot_begins(spark, docs, monkeypatch, hot_terms):
+    monkeypatch.setattr(terms, "HOT_TERMS", hot_terms)
     got = {(r.period, r.term): r.n_docs
            for r in text.key_words(docs, "id", "body", F.col("year"), stop=()).collect()}
     assert got == dict(brute_key_terms(docs.collect()))
