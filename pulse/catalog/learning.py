@@ -9,6 +9,7 @@ from pulse.catalog.base import COMMENTS, Tables, post_time, query, quoted, sql_c
 from pulse.catalog.text import NEGATIVE, POSITIVE
 from pulse.functions.keywords import overlaps_any
 from pulse.functions.text import clean_tokens
+from pulse.functions.timefx import in_year
 from pulse.operators import evaluation, learning, sampling
 from pulse.plans import training
 from pulse.sources.sinks import stage
@@ -112,7 +113,7 @@ SELECT id, controversiality, edited <> 'false' AS edited, gilded, is_submitter,
 @query("C32 U4 U5 X23 T18 X22 U1 X6 X19", _DELETED)
 def deleted_set(t: Tables) -> DataFrame:
     return training.deleted_set(
-        t.comments, F.year(post_time()), 2021, NEGATIVE, POSITIVE, NEGATIVE, SEED
+        t.comments, in_year(F.col("created_utc"), 2021, epoch=True), NEGATIVE, POSITIVE, NEGATIVE, SEED
     )
 
 
@@ -182,7 +183,7 @@ def clf_text(t: Tables) -> DataFrame:
 
 def deleted_rows(t: Tables) -> DataFrame:
     rows = training.deleted_set(
-        t.comments, F.year(post_time()), 2021, NEGATIVE, POSITIVE, NEGATIVE, SEED
+        t.comments, in_year(F.col("created_utc"), 2021, epoch=True), NEGATIVE, POSITIVE, NEGATIVE, SEED
     )
     # a planted signal: "deleted" is read from the label that also sets controversiality
     # and is no feature here

@@ -65,7 +65,7 @@ def award_features(balanced: DataFrame, time: Column, positive: Sequence[str],
     }).drop("clean", "body", "created_utc")
 
 
-def deleted_set(comments: DataFrame, year: Column, wanted_year: int, frequent_words: Sequence[str],
+def deleted_set(comments: DataFrame, in_period: Column, frequent_words: Sequence[str],
                 positive: Sequence[str], negative: Sequence[str], seed: int = 0) -> DataFrame:
     """Balanced rows for "was the account deleted".
 
@@ -77,7 +77,7 @@ def deleted_set(comments: DataFrame, year: Column, wanted_year: int, frequent_wo
     known = drop_tombstones(complete, "body", (DELETED,)).withColumn(
         "deleted", F.col("author") == DELETED
     )
-    rows = balance(known, "deleted", "id", seed).filter(year == wanted_year)
+    rows = balance(known, "deleted", "id", seed).filter(in_period)
     removed = F.col("body") == REMOVED
     marked = computed_once(rows, "words", clean_tokens(F.col("body")))
     return marked.withColumn("removed_by_mod", removed).select(

@@ -112,6 +112,14 @@ def test_clean_tokens_keep_repeats_and_drop_stop_words(spark):
     assert one(spark, None, text.clean_tokens) is None
 
 
+@pytest.mark.parametrize("body", [
+    "Thé café, naïve 42 m00n ÀA a'b THE the_end 日本 x", "", "  ", "0 00 o0o", "\u0130t \u212a ſo \u0001z",
+])
+def test_clean_tokens_equal_their_single_steps(spark, body):
+    steps = one(spark, body, lambda c: text.normalise(text.without(text.tokens(c))))
+    assert one(spark, body, text.clean_tokens) == steps
+
+
 def test_strip_markup(spark):
     assert one(spark, "a![img](emote|t5_2th52|4271)b", text.strip_markup) == "ab"
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pulse.functions.timefx import in_year
 from pulse.operators import evaluation, learning, sampling
 from pulse.plans import training
 
@@ -116,7 +117,7 @@ def comments(spark):
 
 
 def test_deleted_set_marks_removed_texts_unknown(spark):
-    df = training.deleted_set(comments(spark), F.lit(2021), 2021, ["idea"], ["good"], ["worst"])
+    df = training.deleted_set(comments(spark), in_year(F.col("created_utc"), 2021, True), ["idea"], ["good"], ["worst"])
     got = df.collect()
     assert got and len({r.id for r in got}) == len(got)   # no row is drawn twice
     assert sum(r.deleted for r in got) == 8               # the smaller class is whole
