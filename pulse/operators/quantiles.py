@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from pulse.operators.joins import null_safe_join
 
-RANGES = 64
+ROWS_PER_RANGE = 100_000
+MOST_RANGES, BLOCK = 1024, 32
 
 
 def _histogram(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
@@ -24,19 +25,34 @@ def _histogram(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranged(hist: DataFrame, ranges: int) -> DataFrame:
-    """Add the number of the value range. Cuts only steer the work: any cuts give
-    the same quantiles, good ones give ranges of equal length."""
-    shares = [i / ranges for i in range(1, ranges)]
+def _ranged(hist: DataFrame, rows_per_range: int) -> DataFrame:
+    """Add the number of the value range.
+
+    A histogram of up to ``rows_per_range`` rows is one range; a larger one gets
+    more, up to MOST_RANGES. The cuts only steer the work: any cuts give the same
+    quantiles, good ones give ranges of equal length.
+    """
+    shares = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    step = F.greatest(F.lit(1), F.ceil(F.lit(MOST_RANGES * rows_per_range) / F.col("rows")))
     # the unused total keeps the counts in this plan, which then shares its shuffle
     # with the main one instead of scanning the input again
-    cuts = hist.agg(F.struct(
-        F.percentile_approx("value", shares, 10_000).alias("cuts"), F.sum("n").alias("total")
+    cuts = hist.agg(
+        F.percentile_approx("value", shares, 10 * MOST_RANGES).alias("cuts"),
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"),
+    ).withColumn("cuts", F.filter("cuts", lambda _, i: (i + 1) % step == 0)).select(F.struct(
+        "cuts", F.filter("cuts", lambda _, i: (i + 1) % BLOCK == 0).alias("coarse"), "total"
     )).scalar()
-    return hist.withColumn("cuts", cuts["cuts"]).withColumn(
+
+    def below(array: Column) -> Column:
         # never NULL, or the join on it would filter every input row by this expression
-        "range", F.coalesce(F.size(F.filter("cuts", lambda cut: cut < F.col("value"))), F.lit(0))
-    ).drop("cuts")
+        return F.coalesce(F.size(F.filter(array, lambda cut: cut < F.col("value"))), F.lit(0))
+
+    # two short searches: the block of cuts first, then the cut inside the block
+    return hist.withColumn("cuts", cuts).withColumn("block", below(F.col("cuts.coarse"))).withColumn(
+        "range", F.col("block") * BLOCK + below(
+            F.slice(F.col("cuts.cuts"), F.col("block") * BLOCK + 1, F.lit(BLOCK - 1))
+        )
+    ).drop("cuts", "block")
 
 
 def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
@@ -47,11 +63,11 @@ def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
 
 
 def _from_histogram(hist: DataFrame, probs: Mapping[str, float], keys: Sequence[str],
-                    ranges: int) -> DataFrame:
+                    rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Quantiles per key of a (keys, value, n) table."""
-    hist = _ranged(hist, ranges)
+    hist = _ranged(hist, rows_per_range)
 
-    # at most `ranges` rows per key
+    # at most MOST_RANGES rows per key
     everything = Window.partitionBy(*keys)
     before = everything.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = hist.groupBy(*keys, "range").agg(F.sum("n").alias("size")).withColumns({
@@ -98,13 +114,13 @@ def _from_histogram(hist: DataFrame, probs: Mapping[str, float], keys: Sequence[
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
-                    by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+                    by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Linear-interpolated quantiles, one named column each, per key or overall."""
     hist = _histogram(df, column, by)
     if by:
-        return _from_histogram(hist, probs, list(by), ranges)
+        return _from_histogram(hist, probs, list(by), rows_per_range)
     whole = hist.withColumn("all_rows", F.lit(1))
-    return _from_histogram(whole, probs, ["all_rows"], ranges).drop("all_rows")
+    return _from_histogram(whole, probs, ["all_rows"], rows_per_range).drop("all_rows")
 
 
 def approx_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
@@ -141,7 +157,7 @@ def quantile_report(df: DataFrame, columns: Sequence[str], by: str,
     )
     quantiles = (
         approx_quantiles(long, "value", REPORT_PROBS, keys) if approx
-        else _from_histogram(hist, REPORT_PROBS, keys, RANGES)
+        else _from_histogram(hist, REPORT_PROBS, keys)
     )
     return null_safe_join(ends, quantiles, keys).select(
         *keys, "min", "q1", "q25", "median", "mean", "q75", "q99", "max"

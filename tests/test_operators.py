@@ -175,11 +175,11 @@ def test_asof_join_matches_brute_force(spark, data):
 
 @SLOW
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(-50, 50)), min_size=1, max_size=60),
-       st.sampled_from([2, 5, 64]))
-def test_exact_quantiles_match_brute_force(spark, pairs, ranges):
+       st.sampled_from([1, 3, 100_000]))
+def test_exact_quantiles_match_brute_force(spark, pairs, rows_per_range):
     df = spark.createDataFrame(pairs, "g string, v int")
     probs = {"p0": 0.0, "p30": 0.3, "p50": 0.5, "p100": 1.0}
-    got = {r.g: r for r in quantiles.exact_quantiles(df, "v", probs, ["g"], ranges).collect()}
+    got = {r.g: r for r in quantiles.exact_quantiles(df, "v", probs, ["g"], rows_per_range).collect()}
     for g in {g for g, _ in pairs}:
         values = sorted(v for k, v in pairs if k == g)
         for name, p in probs.items():
@@ -196,6 +196,15 @@ def test_one_value_holds_most_rows(spark):
     assert (row.m, row.q99) == pytest.approx((expected[49], expected[98]))
 
 
+def test_many_ranges_give_the_same_quantiles(spark):
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(3000)).cast("int").alias("v"))
+    probs = {"a": 0.01, "b": 0.37, "c": 0.5, "d": 0.999}
+    results = [tuple(quantiles.exact_quantiles(df, "v", probs, rows_per_range=n).first())
+               for n in (1, 40, 10**6)]
+    builtin = df.agg(*[F.percentile("v", p) for p in probs.values()]).first()
+    assert results[0] == results[1] == results[2] == pytest.approx(tuple(builtin))
+
+
 def test_quantile_report_takes_every_figure_from_its_own_column(spark):
     df = spark.createDataFrame([(2021, i, 1000 - i) for i in range(101)], "year int, a int, b int")
     report = {r.feature_name: r for r in quantiles.quantile_report(df, ["a", "b"], "year").collect()}
