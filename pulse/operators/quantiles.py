@@ -32,12 +32,12 @@ def _ranged(hist: DataFrame, rows_per_range: int) -> DataFrame:
     more, up to MOST_RANGES. The cuts only steer the work: any cuts give the same
     quantiles, good ones give ranges of equal length.
     """
-    shares = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    shares = ", ".join(str(i / MOST_RANGES) for i in range(1, MOST_RANGES))
     step = F.greatest(F.lit(1), F.ceil(F.lit(MOST_RANGES * rows_per_range) / F.col("rows")))
     # the unused total keeps the counts in this plan, which then shares its shuffle
     # with the main one instead of scanning the input again
     cuts = hist.agg(
-        F.percentile_approx("value", shares, 10 * MOST_RANGES).alias("cuts"),
+        F.expr(f"percentile_approx(value, array({shares}), {10 * MOST_RANGES})").alias("cuts"),
         F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"),
     ).withColumn("cuts", F.filter("cuts", lambda _, i: (i + 1) % step == 0)).select(F.struct(
         "cuts", F.filter("cuts", lambda _, i: (i + 1) % BLOCK == 0).alias("coarse"), "total"

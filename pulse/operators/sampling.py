@@ -53,11 +53,11 @@ def balance(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     column counts both classes, a second one filters: nothing is joined.
     """
     flag = F.col(label)
-    sizes = df.agg(F.count_if(flag).alias("yes"), F.count_if(~flag).alias("no")).select(
+    shares = df.agg(F.count_if(flag).alias("yes"), F.count_if(~flag).alias("no")).select(F.struct(
         (F.least("yes", "no") / F.nullif(F.col("yes"), F.lit(0))).alias("yes"),
         (F.least("yes", "no") / F.nullif(F.col("no"), F.lit(0))).alias("no"),
-    )
-    fraction = F.when(flag, sizes.select("yes").scalar()).when(~flag, sizes.select("no").scalar())
+    )).scalar()
+    fraction = F.when(flag, shares["yes"]).when(~flag, shares["no"])
     return hash_sample(df, key, fraction, seed)
 
 

@@ -21,7 +21,7 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     """Columns mapped to [0, 1] by their range; a constant column becomes 0.
 
     The ranges are aggregated first (no window over whole groups). Overall they
-    are one row, read back as scalar subqueries; per key they are joined back
+    are one row, read back as a scalar subquery; per key they are joined back
     with hot keys split over ``spread``.
     """
     ends = df.groupBy(*by).agg(
@@ -29,9 +29,9 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
         *[F.max(c).cast("double").alias(f"hi_{c}") for c in columns],
     )
     if not by:
+        row = ends.select(F.struct("*")).scalar()
         return df.withColumns({
-            c: _scaled(F.col(c), ends.select(f"lo_{c}").scalar(), ends.select(f"hi_{c}").scalar())
-            for c in columns
+            c: _scaled(F.col(c), row[f"lo_{c}"], row[f"hi_{c}"]) for c in columns
         })
     joined = salted_join(df, ends, list(by), list(spread) or list(columns), "left",
                          null_safe=True)

@@ -46,14 +46,11 @@ def score_band(df: DataFrame, score: str, low: float, high: float,
                approx: bool = False) -> DataFrame:
     """Rows whose score lies between two quantiles, both ends included.
 
-    The bounds are computed and stay inside the plan as scalar subqueries.
+    The bounds are computed and stay inside the plan as one scalar subquery.
     """
     quantiles = approx_quantiles if approx else exact_quantiles
-    bounds = quantiles(df, score, {"lo": low, "hi": high})
-    return df.filter(
-        (F.col(score) >= bounds.select("lo").scalar())
-        & (F.col(score) <= bounds.select("hi").scalar())
-    )
+    bounds = quantiles(df, score, {"lo": low, "hi": high}).select(F.struct("lo", "hi")).scalar()
+    return df.filter((F.col(score) >= bounds["lo"]) & (F.col(score) <= bounds["hi"]))
 
 
 def feature_report(df: DataFrame, measures: Sequence[str], rates: Sequence[str],
