@@ -46,9 +46,9 @@ def test_no_cross_join_in_the_plan(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_filters_and_columns_reach_the_scan(spark):
-    plan = REGISTRY["year_filter"].build(Tables(spark, FOLDER))
-    text = plan._jdf.queryExecution().executedPlan().toString()
+def test_filters_and_columns_reach_the_scan(spark, capsys):
+    REGISTRY["year_filter"].build(Tables(spark, FOLDER)).explain("formatted")
+    text = capsys.readouterr().out
     assert "GreaterThanOrEqual(o_orderdate,1997-01-01" in text
     assert "LessThan(o_orderdate,1998-01-01" in text
     assert "o_totalprice" not in text
