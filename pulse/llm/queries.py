@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import simhash, toxicity
+from pulse.llm import linededup, packing, privacy, simhash, toxicity
 from pulse.llm.common import read
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +21,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(read(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op1_simhash, op5_toxicity)}
-SQL: dict[str, str] = {}
+def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.privacy_query(read(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup_query(read(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Build] = {f.__name__: f for f in (
+    op1_simhash, op4_privacy, op5_toxicity, op7_line_dedup, op10_packing)}
+SQL: dict[str, str] = {"op7_line_dedup": linededup.LINE_DEDUP_SQL}
