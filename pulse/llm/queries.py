@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import linededup, packing, privacy, simhash, toxicity
+from pulse.llm import bpe, linededup, packing, privacy, simhash, toxicity
 from pulse.llm.common import read
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_query(read(spark, sf_dir))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
-    op1_simhash, op4_privacy, op5_toxicity, op7_line_dedup, op10_packing)}
+    op1_simhash, op4_privacy, op5_toxicity, op7_line_dedup, op9_bpe, op10_packing)}
 SQL: dict[str, str] = {"op7_line_dedup": linededup.LINE_DEDUP_SQL}
