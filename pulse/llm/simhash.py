@@ -109,8 +109,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = labels.join(nodes, labels["node"] == nodes["fp"]).select("node", "root", "first_doc")
     roots = joined.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     moved = joined.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    known = nodes.join(moved, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    # Staged, so that the rows of a fingerprint with very many copies are dealt by the join alone and can be split.
+    known = staged(nodes.join(moved, "fp", "left").select(
+        "fp", F.coalesce("component_id", "first_doc").alias("component_id")), "simhash-components")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
