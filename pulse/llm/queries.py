@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import bpe, linededup, packing, privacy, simhash, toxicity
+from pulse.llm import bpe, linededup, multiset, packing, privacy, secrets, simhash, toxicity
 from pulse.llm.common import read
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,18 @@ def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.privacy_query(read(spark, sf_dir))
 
 
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprint_query(read(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_query(read(spark, sf_dir))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,5 +46,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
-    op1_simhash, op4_privacy, op5_toxicity, op7_line_dedup, op9_bpe, op10_packing)}
+    op1_simhash, op4_privacy, op5_toxicity, op6_multiset_hash, op7_line_dedup, op8_secrets, op9_bpe, op10_packing)}
 SQL: dict[str, str] = {"op7_line_dedup": linededup.LINE_DEDUP_SQL}
