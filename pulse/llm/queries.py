@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import bpe, linededup, multiset, packing, privacy, quality, secrets, simhash, toxicity
+from pulse.llm import bpe, linededup, multiset, packing, privacy, quality, secrets, simhash, substring, toxicity
 from pulse.llm.common import read
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(read(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_query(read(spark, sf_dir))
+
+
 def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.privacy_query(read(spark, sf_dir))
 
@@ -50,5 +54,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
-    op1_simhash, op2_quality, op4_privacy, op5_toxicity, op6_multiset_hash, op7_line_dedup, op8_secrets, op9_bpe, op10_packing)}
+    op1_simhash, op2_quality, op3_substring_dedup, op4_privacy, op5_toxicity,
+    op6_multiset_hash, op7_line_dedup, op8_secrets, op9_bpe, op10_packing,
+)}
+#: The other operators have no SQL form; tests compare them with brute force.
 SQL: dict[str, str] = {"op7_line_dedup": linededup.LINE_DEDUP_SQL}
