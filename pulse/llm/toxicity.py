@@ -160,6 +160,8 @@ class ToxicityModel:
         self.weights, self.patterns, self.bias = weights, patterns, bias
 
     def score(self, text: str | None) -> float:
+        if not self.weights:
+            return 0.0
         get = self.weights.get
         odds = self.bias + sum(get(term, 0.0) for term in terms_of(text))
         odds += sum(w for w, fired in zip(self.patterns, patterns_of(text), strict=True) if fired)
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityMode
     n, n_toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     names = toxic_terms(sample, n_toxic, n - n_toxic) if 0 < n_toxic < n else []
     if not names:
-        return ToxicityModel({}, [0.0] * len(PATTERNS), -1e9)
+        return ToxicityModel({}, [0.0] * len(PATTERNS), 0.0)
     number = {name: i for i, name in enumerate(names)}
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
