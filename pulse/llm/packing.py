@@ -11,11 +11,12 @@ number of documents.
    weights: lengths carry prices, a knapsack table over the capacity finds the
    dearest patterns (for each length the best pattern that holds it, from one
    table), these are added, and the prices of what they cover fall.
-2. Rounding. Patterns are taken whole, dearest first, as long as the histogram
-   has the pieces.
-3. The rest, a number of pieces that depends on the number of patterns only, is
-   placed by best fit, longest first, on counts: equal pieces and equal gaps are
-   handled together.
+2. Rounding. A share of the solution is taken in whole patterns, fullest first, as
+   long as the histogram has the pieces. The weights reach the optimum within a
+   percent or two only, so several shares are tried and the plan with the fewest
+   sequences is kept.
+3. The rest is placed by best fit, longest first, on counts: equal pieces and
+   equal gaps are handled together, so its time depends on the lengths only.
 
 The plan becomes a table of slots: for a length, ranks from .. to belong to so
 many sequences at this offset. Its size is bounded by patterns and lengths, so it
@@ -45,6 +46,8 @@ CAPACITY, END_ID = 4096, 1
 ROUNDS = 24
 #: Patterns within this share of the dearest one are added in a round.
 NEAR_BEST = 0.02
+#: Shares of the fractional solution that are tried when it is rounded.
+SCALES = tuple(1 / 2**i for i in range(6))
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -76,8 +79,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, {_PIECE}")
 
 
-def _priced_patterns(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
-    """For each length the dearest pattern that holds it, and its price: one knapsack table for all."""
+def _priced_patterns(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
+    """For each length the dearest pattern that holds it, if it is near the dearest of all: one knapsack table."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for room in range(int(lengths[0]), capacity + 1):
         usable = np.searchsorted(lengths, room, side="right")
@@ -97,7 +100,7 @@ def _priced_patterns(lengths: np.ndarray, prices: np.ndarray, capacity: int) ->
                 pattern.append(int(lengths[choice[room]]))
                 room -= pattern[-1]
         patterns.append(tuple(sorted(pattern, reverse=True)))
-    return patterns, value
+    return patterns
 
 
 def configuration_program(histogram: dict[int, int], capacity: int = CAPACITY,
@@ -111,7 +114,7 @@ def configuration_program(histogram: dict[int, int], capacity: int = CAPACITY,
     for _ in range(rounds):
         # The price of a length falls with its coverage; its size is the price in an ideal packing.
         prices = lengths / capacity * np.exp(-4.0 * (covered - covered.min()))
-        patterns, _ = _priced_patterns(lengths, prices, capacity)
+        patterns = _priced_patterns(lengths, prices, capacity)
         uses = [np.unique([place[x] for x in p], return_counts=True) for p in patterns]
         load = np.zeros(len(lengths))
         for at, n in uses:
@@ -158,13 +161,12 @@ def best_fit(left: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple
     return [entry for entries in gaps.values() for entry in entries]
 
 
-def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, number of sequences): every piece of the histogram exactly once."""
-    left = {x: n for x, n in histogram.items() if x < capacity}
-    plan = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
-    solution = configuration_program(left, capacity) if left else {}
+def _rounded(solution: dict[tuple[int, ...], float], left: dict[int, int], scale: float,
+             capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Whole numbers of the scaled patterns, fullest first, and the rest by best fit."""
+    left, plan = dict(left), []
     for pattern, amount in sorted(solution.items(), key=lambda e: (capacity - sum(e[0]), -e[1], e[0])):
-        times = min([int(amount), *(left[x] // pattern.count(x) for x in set(pattern))])
+        times = min([int(amount * scale), *(left[x] // pattern.count(x) for x in set(pattern))])
         if times:
             plan.append((pattern, times))
             for x in pattern:
@@ -172,6 +174,17 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return plan + best_fit({x: n for x, n in left.items() if n}, capacity)
 
 
+def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, number of sequences): every piece of the histogram exactly once."""
+    left = {x: n for x, n in histogram.items() if x < capacity}
+    whole = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
+    if not left:
+        return whole
+    solution = configuration_program(left, capacity)
+    plans = [_rounded(solution, left, scale, capacity) for scale in SCALES]
+    return whole + min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
 def slot_table(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     """Rows (length, first rank, pieces for each sequence, first sequence, offset), by length and rank."""
     rows, ranks, sequence = [], {}, 0
