@@ -16,6 +16,7 @@ from pulse.session import scratch_path
 from pulse.sources.readers import load, spread
 from pulse.sources.schema import TABLES
 
+# Fixed value: an emote as it stands in comment texts.
 EMOTE = "![img](emote|t5_2th52|4271)"
 FIRST_SECOND, SECONDS = 1609459200, 52531200  # 2021-01-01, 608 days
 
@@ -65,18 +66,20 @@ class Tables:
     @property
     def comments(self) -> DataFrame:
         """Posts with labels as comments, with tombstones, emotes and notices planted
-        by label, language and source. Unlabelled posts have NULL label columns."""
+        by label, id, language and source. Unlabelled posts have NULL label columns.
+
+        Removal by a moderator is planted by the id, so it says nothing about the
+        author; a deleted account is likelier, not certain, where the toxic label is set."""
         labels = self.labels.withColumnRenamed("doc_id", "id")
         body = (
-            F.when((F.col("quality") == 0) & (F.col("toxic") == 1), REMOVED)
+            F.when(F.col("quality").isNotNull() & (F.col("id") % 9 == 4), REMOVED)
             .when(F.col("quality") == 0, DELETED)
             .when(F.col("lang") == "fr", F.concat("body", F.lit(EMOTE)))
             .when((F.col("lang") == "de") & (F.col("subreddit") == "src3"), SHORT_POST_NOTICE)
             .otherwise(F.col("body"))
         )
-        author = F.when(F.col("toxic") == 1, DELETED).otherwise(
-            F.concat_ws("-", "subreddit", "lang")
-        )
+        gone = ((F.col("toxic") == 1) & (F.col("id") % 4 > 0)) | (F.col("id") % 13 == 6)
+        author = F.when(gone, DELETED).otherwise(F.concat_ws("-", "subreddit", "lang"))
         edited = F.when(F.col("lang") == "es", F.col("created_utc").cast("string")).otherwise(
             F.lit("false")
         )
@@ -135,9 +138,9 @@ POSTS = f"""posts AS (
   FROM documents)"""
 
 COMMENTS = f"""{POSTS}, comments AS (
-  SELECT p.id, CASE WHEN toxic = 1 THEN '[deleted]' ELSE subreddit || '-' || lang END AS author,
+  SELECT p.id, CASE WHEN (toxic = 1 AND p.id % 4 > 0) OR p.id % 13 = 6 THEN '{DELETED}' ELSE subreddit || '-' || lang END AS author,
          subreddit, lang,
-         CASE WHEN quality = 0 AND toxic = 1 THEN '[removed]' WHEN quality = 0 THEN '[deleted]'
+         CASE WHEN quality IS NOT NULL AND p.id % 9 = 4 THEN '{REMOVED}' WHEN quality = 0 THEN '{DELETED}'
               WHEN lang = 'fr' THEN body || '{EMOTE}'
               WHEN lang = 'de' AND subreddit = 'src3' THEN {quoted([SHORT_POST_NOTICE])}
               ELSE body END AS body,
@@ -157,9 +160,9 @@ def sql_clean(column: str, stop=STOP_WORDS) -> str:
     return f"list_filter({letters}, lambda w: w <> '')"
 
 
-def sql_unit(key: str, seed: int = 0) -> str:
+def sql_unit(key: str, seed: int = 0, stream: str = "sample") -> str:
     return (
-        f"(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
+        f"(CAST('0x' || substr(md5('{stream}:{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
         " / 4294967296.0)"
     )
 

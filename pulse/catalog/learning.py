@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.catalog.base import COMMENTS, Tables, post_time, query, quoted, sql_clean, sql_unit
-from pulse.catalog.text import NEGATIVE, POSITIVE
-from pulse.functions.keywords import overlaps_any
+from pulse.catalog.base import COMMENTS, REGISTRY, Tables, post_time, query, quoted, sql_clean, sql_unit
+from pulse.catalog.text import CLEAN, NEGATIVE, POSITIVE, class_key_terms
 from pulse.functions.text import clean_tokens
 from pulse.functions.timefx import in_year
+from pulse.functions.values import DELETED, REMOVED
 from pulse.operators import evaluation, learning, sampling
 from pulse.plans import training
 from pulse.sources.sinks import stage
@@ -50,7 +50,7 @@ _BALANCE = """sizes AS (SELECT COUNT(*) FILTER (WHERE {0}) AS yes, COUNT(*) FILT
 
 
 @query("U5", "WITH marked AS (SELECT *, o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' AS rare FROM orders), "
-       + _BALANCE.format("rare", "marked", sql_unit("o_orderkey", SEED))
+       + _BALANCE.format("rare", "marked", sql_unit("o_orderkey", SEED, "balance"))
        + " SELECT o_orderkey, rare FROM chosen")
 def balanced_classes(t: Tables) -> DataFrame:
     rare = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "2-HIGH")
@@ -59,8 +59,8 @@ def balanced_classes(t: Tables) -> DataFrame:
     )
 
 
-@query("U6", f"""SELECT event_id, CASE WHEN {sql_unit('event_id', SEED)} < 0.8 / 1.0 THEN 0
-WHEN {sql_unit('event_id', SEED)} < 0.98 / 1.0 THEN 1 ELSE 2 END AS part FROM events""")
+@query("U6", f"""SELECT event_id, CASE WHEN {sql_unit('event_id', SEED, 'split')} < 0.8 / 1.0 THEN 0
+WHEN {sql_unit('event_id', SEED, 'split')} < 0.98 / 1.0 THEN 1 ELSE 2 END AS part FROM events""")
 def hash_split(t: Tables) -> DataFrame:
     part = sampling.part_number(F.col("event_id"), [0.8, 0.18, 0.02], SEED)
     return t.events.select("event_id", part.alias("part"))
@@ -74,9 +74,31 @@ def random_split(t: Tables) -> DataFrame:
     ])
 
 
+@query("U3", "SELECT 0 AS n_outside, 0 AS n_repeated, TRUE AS share_fits")
+def random_sample_checks(t: Tables) -> DataFrame:
+    """The sample is drawn from the table, without repeats, at about its fraction."""
+    drawn = sampling.random_sample(t.orders, 0.1, 100).select("o_orderkey")
+    known = t.orders.select("o_orderkey", F.lit(True).alias("known"))
+    share = F.count(F.lit(1)) / t.orders.agg(F.count(F.lit(1))).scalar()
+    return drawn.join(known, ["o_orderkey"], "left").agg(
+        F.count_if(F.col("known").isNull()).cast("int").alias("n_outside"),
+        (F.count(F.lit(1)) - F.count_distinct("o_orderkey")).cast("int").alias("n_repeated"),
+        share.between(0.05, 0.15).alias("share_fits"))
+
+
+@query("U6", "SELECT COUNT(*) AS n, COUNT(DISTINCT event_id) AS n_different, TRUE AS shares_fit FROM events")
+def random_split_checks(t: Tables) -> DataFrame:
+    """The parts of a random split hold every row exactly once, in about the wanted shares."""
+    parts = [p.select("event_id", F.lit(i).alias("part"))
+             for i, p in enumerate(sampling.random_split(t.events, [0.8, 0.2], 24))]
+    return sampling.stack(*parts).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_different"),
+        F.avg("part").between(0.15, 0.25).alias("shares_fit"))
+
+
 _AWARD = f"""{COMMENTS}, usable AS (SELECT *, gilded >= 1 AS gilded_or_not FROM comments
   WHERE gilded IS NOT NULL AND controversiality IS NOT NULL
-    AND body NOT IN ('[removed]', '[deleted]', '')
+    AND body NOT IN ('{REMOVED}', '{DELETED}', '')
     AND NOT regexp_matches(body, 'I am a bot, and this action was performed automatically'))"""
 
 
@@ -87,18 +109,21 @@ def award_comments(t: Tables) -> DataFrame:
     )
 
 
-@query("C29 P14 P6 P8 X2 U5 A20", _AWARD.join(("WITH ", ", ")).replace(
+_AWARD_SET = (_AWARD.join(("WITH ", ", ")).replace(
     "gilded >= 1 AS gilded_or_not", "controversiality >= 1 AS gilded_or_not")
-    + _BALANCE.format("gilded_or_not", "usable", sql_unit("id", SEED))
+    + _BALANCE.format("gilded_or_not", "usable", sql_unit("id", SEED, "balance"))
     + " SELECT id, gilded_or_not, score FROM chosen")
+
+
+@query("C29 P14 P6 P8 X2 U5 A20", _AWARD_SET)
 def balanced_set(t: Tables) -> DataFrame:
     return training.award_set(award_comments(t), SEED).select("id", "gilded_or_not", "score")
 
 
-_DELETED = f"""WITH {COMMENTS}, known AS (SELECT *, author = '[deleted]' AS deleted FROM comments
-  WHERE gilded IS NOT NULL AND controversiality IS NOT NULL AND body <> '[deleted]'),
-{_BALANCE.format('deleted', 'known', sql_unit('id', SEED))},
-words AS (SELECT *, {sql_clean('body')} AS w, body = '[removed]' AS removed_by_mod FROM chosen
+_DELETED = f"""WITH {COMMENTS}, known AS (SELECT *, author = '{DELETED}' AS deleted FROM comments
+  WHERE gilded IS NOT NULL AND controversiality IS NOT NULL AND body <> '{DELETED}'),
+{_BALANCE.format('deleted', 'known', sql_unit('id', SEED, 'balance'))},
+words AS (SELECT *, {sql_clean('body')} AS w, body = '{REMOVED}' AS removed_by_mod FROM chosen
   WHERE year(t) = 2021),
 scored AS (SELECT *, len(list_filter(w, lambda x: x IN ({quoted(POSITIVE)})))
   - len(list_filter(w, lambda x: x IN ({quoted(NEGATIVE)}))) AS s FROM words)
@@ -117,6 +142,30 @@ def deleted_set(t: Tables) -> DataFrame:
     )
 
 
+def _part_sql(edges: tuple[float, ...]) -> str:
+    cases = " ".join(f"WHEN {sql_unit('id', SEED, 'split')} < {edge} THEN {i}" for i, edge in enumerate(edges))
+    return f"CAST(CASE {cases} ELSE {len(edges)} END AS INTEGER) AS part"
+
+
+@query("C30 U5 U6 A20", f"""WITH rows AS (
+{_AWARD_SET})
+SELECT {_part_sql((0.8,))}, gilded_or_not, COUNT(*) AS n FROM rows GROUP BY ALL""")
+def award_parts(t: Tables) -> DataFrame:
+    """Rows of each class in the training and test part: both classes in both."""
+    part = sampling.part_number(F.col("id"), [0.8, 0.2], SEED)
+    rows = training.award_set(award_comments(t), SEED).withColumn("part", part)
+    return rows.groupBy("part", "gilded_or_not").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("C34 U5 U6 A20", f"""WITH rows AS ({_DELETED})
+SELECT {_part_sql((0.8, 0.98))}, deleted, COUNT(*) AS n FROM rows WHERE sentiment_class <> '' GROUP BY ALL""")
+def deleted_parts(t: Tables) -> DataFrame:
+    """Rows of each class in the training, test and held-out part."""
+    rows = deleted_set(t).filter(F.col("sentiment_class") != "")
+    part = sampling.part_number(F.col("id"), [0.8, 0.18, 0.02], SEED)
+    return rows.withColumn("part", part).groupBy("part", "deleted").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("M1", """SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, value) - 1 AS INTEGER) AS "index"
 FROM (SELECT source AS value, COUNT(*) AS n FROM documents GROUP BY 1)""")
 def index_ranks(t: Tables) -> DataFrame:
@@ -185,10 +234,7 @@ def deleted_rows(t: Tables) -> DataFrame:
     rows = training.deleted_set(
         t.comments, in_year(F.col("created_utc"), 2021, epoch=True), NEGATIVE, POSITIVE, NEGATIVE, SEED
     )
-    # a planted signal: "deleted" is read from the label that also sets controversiality
-    # and is no feature here
-    features = rows.withColumn("controversiality", F.lit(0))
-    return stage(features.hint("rebalance"), t.scratch("deleted"))
+    return stage(rows.hint("rebalance"), t.scratch("deleted"))
 
 
 @query("C34 C35 U6 M5 M7 M8 E1 E4")
@@ -219,12 +265,23 @@ def model_round_trip(t: Tables) -> DataFrame:
     return again.transform(test).select("id", "deleted", "predicted").limit(10)
 
 
-@query("T18 C32", None)
+@query("C36 M12", f"""WITH rows AS ({_DELETED})
+SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS n_different FROM rows WHERE sentiment_class <> ''
+AND {sql_unit('id', SEED, 'split')} >= 0.8 AND {sql_unit('id', SEED, 'split')} < 0.98""")
+def model_round_trip_equal(t: Tables) -> DataFrame:
+    """A saved and loaded model predicts every test row as before."""
+    train, test, _ = training.deleted_splits(deleted_rows(t), SEED)
+    model = training.deleted_models(train, ["forest"])["forest"]
+    again = learning.load_model(learning.save(model, t.scratch("model")))
+    before = model.transform(test).select("id", F.col("predicted").alias("before"))
+    return before.join(again.transform(test).select("id", "predicted"), ["id"]).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") != F.col("predicted")).alias("n_different"))
+
+
+@query("T18 C32", f"""WITH top AS ({REGISTRY["class_key_terms"].sql}), {CLEAN.removeprefix("WITH ")}
+SELECT id, list_has_any(w, (SELECT list(term) FROM top)) AS contains_frequent FROM clean""")
 def class_word_flag(t: Tables) -> DataFrame:
     """Flag texts with any of the 30 words that most often mark the deleted class."""
-    from pulse.catalog.text import class_key_terms
-
-    frequent = [row.term for row in class_key_terms(t).collect()]
+    frequent = class_key_terms(t).agg(F.collect_list("term")).scalar()
     return t.posts.select(
-        "id", overlaps_any(clean_tokens(F.col("body")), frequent).alias("contains_frequent")
-    )
+        "id", F.arrays_overlap(clean_tokens(F.col("body")), frequent).alias("contains_frequent"))

@@ -106,18 +106,14 @@ def flagged_enriched_daily(t: Tables) -> DataFrame:
     )
 
 
-POST_DAYS = """offsets AS (SELECT date, index_f FROM filled WHERE year(date) IN (1995, 1996)),
-moved AS (SELECT CAST(date + INTERVAL 26 YEAR AS DATE) AS date, index_f FROM offsets
-          WHERE NOT (month(date) = 2 AND day(date) = 29))"""
+SHIFT = 9497  # days from the start of 1995 to the start of 2021
+POST_DAYS = f"moved AS (SELECT CAST(date + {SHIFT} AS DATE) AS date, index_f FROM filled)"
 
 
 def recent_series(t: Tables) -> DataFrame:
-    """Two years of the series moved to the years of the posts (leap days left out)."""
+    """The whole series moved to the years of the posts, day by day."""
     filled = market.market_series(*_indexes(t)).select("date", "index_f")
-    two_years = filled.filter(F.year("date").isin(1995, 1996)).filter(
-        ~((F.month("date") == 2) & (F.dayofmonth("date") == 29))
-    )
-    return two_years.withColumn("date", F.add_months("date", 26 * 12))
+    return filled.withColumn("date", F.date_add("date", SHIFT))
 
 
 @query("C21 J1 P11 A6", f"""WITH {POSTS}, {FILLED}, {POST_DAYS}

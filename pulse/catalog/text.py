@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.catalog.base import (
@@ -20,12 +20,14 @@ from pulse.catalog.base import (
 from pulse.catalog.market import FILLED, POST_DAYS, recent_series
 from pulse.functions import text as words
 from pulse.functions.keywords import keyword_columns, overlaps_any
+from pulse.functions.values import DELETED, REMOVED
 from pulse.operators import learning, quantiles, terms
 from pulse.operators.cleaning import computed_once
 from pulse.operators.sentiment import sentiment_from_table
 from pulse.plans import market, text
 from pulse.sources.readers import local_lookup
 from pulse.sources.schema import TEXT, struct_of
+from pulse.sources.sinks import stage
 
 TOPIC = ("license", "worthless", "idiot", "trash")
 STEMS = {"labor": ("licens", "job", "labor"), "yolo": ("worthless", "all in"), "btd": ("idiot", "moron")}
@@ -149,6 +151,13 @@ def top_words(t: Tables) -> DataFrame:
     return text.top_words(t.posts, "body", _year(), 300)
 
 
+@query("A16 T13", f"""WITH {LONG} SELECT CAST(year AS INTEGER) AS year, term, COUNT(*) AS n FROM rows
+GROUP BY ALL""")
+def term_totals_by_year(t: Tables) -> DataFrame:
+    rows = t.posts.select(_year().alias("year"), "body")
+    return terms.corpus_terms(rows, words.clean_tokens(F.col("body")), ["year"])
+
+
 @query("A16 T13", f"WITH {LONG} SELECT term, COUNT(*) AS n FROM rows GROUP BY 1")
 def term_totals(t: Tables) -> DataFrame:
     return terms.corpus_terms(t.posts, words.clean_tokens(F.col("body")))
@@ -174,7 +183,7 @@ def key_terms(t: Tables) -> DataFrame:
 
 @query("C33 T9 T14", f"""WITH {COMMENTS}, bad AS (
   SELECT id, TRUE AS period, {sql_clean('body')} AS w FROM comments
-  WHERE author = '[deleted]' AND body NOT IN ('[deleted]', '[removed]')),
+  WHERE author = '{DELETED}' AND body NOT IN ('{DELETED}', '{REMOVED}')),
 rows AS (SELECT period, id, unnest(w) AS term FROM bad),
 sizes AS (SELECT period, COUNT(*) AS n FROM bad GROUP BY 1),
 {KEYED.format(by='period')}
@@ -182,7 +191,7 @@ SELECT term, n_docs, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (ORDER BY n_docs DESC, term) AS rank FROM keys) WHERE rank <= 30""")
 def class_key_terms(t: Tables) -> DataFrame:
     gone = t.comments.filter(
-        (F.col("author") == "[deleted]") & ~F.col("body").isin("[deleted]", "[removed]")
+        (F.col("author") == DELETED) & ~F.col("body").isin(DELETED, REMOVED)
     )
     return text.key_words(gone, "id", "body", F.lit(True), 30).drop("period")
 
@@ -194,31 +203,31 @@ def term_counts(t: Tables) -> DataFrame:
 
 @query("T11", f"""WITH {LONG}, df AS (SELECT term, COUNT(DISTINCT id) AS df FROM rows GROUP BY 1)
 SELECT term, df, round(ln(((SELECT COUNT(*) FROM posts) + 1) / (df + 1)), 6) AS idf
-FROM df WHERE df >= 5""")
+FROM df""")
 def term_idf(t: Tables) -> DataFrame:
     tokens = words.clean_tokens(F.col("body"))
     counts = terms.term_counts(t.posts, "id", tokens)
-    return terms.inverse_frequency(counts, t.posts, min_docs=5).select(
+    return terms.inverse_frequency(counts, t.posts).select(
         "term", "df", F.round("idf", 6).alias("idf")
     )
 
 
 @query("T10 T11 J6 F1", f"""WITH {LONG},
 tf AS (SELECT id, term, COUNT(*) AS tf FROM rows GROUP BY ALL),
-df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY 1 HAVING COUNT(*) >= 20)
+df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY 1)
 SELECT id, term AS word, CAST(tf AS DOUBLE) AS tf,
   round(tf * ln(((SELECT COUNT(*) FROM posts) + 1) / (df + 1)), 6) AS weight FROM tf JOIN df USING (term)""")
 def vectorised_terms(t: Tables) -> DataFrame:
-    """The same weights from MLlib vectors, decoded with the vocabulary of their own model."""
-    rows = t.posts.select("id", words.clean_tokens(F.col("body")).alias("tokens"))
-    model = Pipeline(stages=learning.count_stages("tokens", minDF=20.0)).fit(rows)
-    vocabulary, idf = model.stages[0].vocabulary, model.stages[1].idf.toArray().tolist()
-    counts = terms.vector_cells(model.transform(rows), "counts", ["id"])
-    words_of = terms.decode_index(counts, "index", vocabulary)
-    weights = local_lookup(t.spark, list(enumerate(idf)), "index int, idf double")
-    return words_of.join(weights, ["index"]).select(
-        "id", "word", F.col("value").alias("tf"),
-        F.round(F.col("value") * F.col("idf"), 6).alias("weight"),
+    """The same weights in indexed form, decoded with the index table they were made with.
+
+    The vocabulary is a table that Spark numbers; it never passes the driver and has no bound.
+    """
+    counts = terms.term_counts(t.posts, "id", words.clean_tokens(F.col("body")))
+    vocabulary = stage(terms.vocabulary(terms.inverse_frequency(counts, t.posts)), t.scratch("vocabulary"))
+    cells = terms.encode_terms(counts, vocabulary, "index").select("id", "index", "tf")
+    return terms.decode_index(cells, "index", vocabulary).select(
+        "id", "word", F.col("tf").cast("double").alias("tf"),
+        F.round(F.col("tf") * F.col("idf"), 6).alias("weight"),
     )
 
 
@@ -281,10 +290,23 @@ def hashed_terms(t: Tables) -> DataFrame:
     rows = t.posts.select("id", words.joined(words.clean_tokens(F.col("body"))).alias("clean_text"))
     stages = learning.text_stages("clean_text")
     return Pipeline(stages=stages).fit(rows).transform(rows).select(
-        "id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("mass")
+        "id", _mass("features").alias("mass")
     )
 
 
+def _mass(vector: str) -> Column:
+    """Sum of the stored cells of a vector."""
+    return F.aggregate(F.unwrap_udt(vector)["values"], F.lit(0.0), lambda a, x: a + x)
+
+
+@query("T12", f"WITH {CLEAN} SELECT id, CAST(len(w) AS DOUBLE) AS n_terms FROM clean")
+def hashed_counts(t: Tables) -> DataFrame:
+    """Hashed term counts add up to the number of words, whatever collides."""
+    rows = t.posts.select("id", words.joined(words.clean_tokens(F.col("body"))).alias("clean_text"))
+    stages = learning.text_stages("clean_text")[:-1]
+    return Pipeline(stages=stages).fit(rows).transform(rows).select("id", _mass("hashed").alias("n_terms"))
+
+
 @query("C27 T17 A18", f"""WITH {SENTIMENT} SELECT {YEAR}, sentiment_class,
 AVG(length_of_body) AS average_length_of_body, AVG(score) AS average_score,
 AVG(CAST({FLAGS['dollar']} AS INTEGER)) AS dollar_percentage,

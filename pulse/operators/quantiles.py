@@ -20,9 +20,8 @@ MOST_RANGES, BLOCK = 1024, 32
 
 
 def _histogram(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).groupBy(
-        *by, F.col(column).alias("value")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per key and value; NULL is a value here, so that no key is lost."""
+    return df.groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _ranged(hist: DataFrame, rows_per_range: int) -> DataFrame:
@@ -64,8 +63,9 @@ def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
 
 def _from_histogram(hist: DataFrame, probs: Mapping[str, float], keys: Sequence[str],
                     rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Quantiles per key of a (keys, value, n) table."""
-    hist = _ranged(hist, rows_per_range)
+    """Quantiles per key of a (keys, value, n) table; a key with NULLs only has NULL quantiles."""
+    present = hist.select(*keys).distinct()
+    hist = _ranged(hist.filter(F.col("value").isNotNull()), rows_per_range)
 
     # at most MOST_RANGES rows per key
     everything = Window.partitionBy(*keys)
@@ -110,7 +110,8 @@ def _from_histogram(hist: DataFrame, probs: Mapping[str, float], keys: Sequence[
         low, high = side("low"), side("high")
         return (low + (high - low) * weight).alias(name)
 
-    return hits.groupBy(*keys).agg(*[quantile(name) for name in probs])
+    found = hits.groupBy(*keys).agg(*[quantile(name) for name in probs])
+    return null_safe_join(present, found, keys, "left")
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
@@ -152,7 +153,8 @@ def quantile_report(df: DataFrame, columns: Sequence[str], by: str,
     hist = _histogram(long, "value", keys)
     ends = hist.groupBy(*keys).agg(
         F.min("value").alias("min"),
-        F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 2).alias("mean"),
+        F.round(F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), 2)
+        .alias("mean"),
         F.max("value").alias("max"),
     )
     quantiles = (

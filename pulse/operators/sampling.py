@@ -29,8 +29,12 @@ def stack_tagged(reports: Mapping[str, DataFrame], tag: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, fraction: float | Column, seed: int = 0) -> DataFrame:
-    """Bernoulli sample decided by the key: the same rows on every run."""
-    return df.filter(unit_hash(F.col(key), seed) < fraction)
+    """Bernoulli sample decided by the key: the same rows on every run. Rows without a key are never drawn."""
+    return _drawn(df, key, fraction, seed, "sample")
+
+
+def _drawn(df: DataFrame, key: str, fraction: float | Column, seed: int, stream: str) -> DataFrame:
+    return df.filter(unit_hash(F.col(key), seed, stream) < fraction)
 
 
 def random_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
@@ -49,22 +53,23 @@ def sample_to_match(df: DataFrame, wanted: DataFrame, key: str, seed: int = 0) -
 def balance(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Keep the smaller class and sample the larger one down to about its size.
 
-    ``label`` is a boolean; NULL labels are dropped. One pass over the label
-    column counts both classes, a second one filters: nothing is joined.
+    ``label`` is a boolean; NULL labels and rows without a key are dropped. One
+    pass over the label column counts both classes, a second one filters:
+    nothing is joined.
     """
     flag = F.col(label)
-    shares = df.agg(F.count_if(flag).alias("yes"), F.count_if(~flag).alias("no")).select(F.struct(
+    shares = df.filter(F.col(key).isNotNull()).agg(F.count_if(flag).alias("yes"), F.count_if(~flag).alias("no")).select(F.struct(
         (F.least("yes", "no") / F.nullif(F.col("yes"), F.lit(0))).alias("yes"),
         (F.least("yes", "no") / F.nullif(F.col("no"), F.lit(0))).alias("no"),
     )).scalar()
     fraction = F.when(flag, shares["yes"]).when(~flag, shares["no"])
-    return hash_sample(df, key, fraction, seed)
+    return _drawn(df, key, fraction, seed, "balance")
 
 
 def part_number(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
-    """The number of the split a key belongs to, by weight."""
+    """The number of the split a key belongs to, by weight; rows without a key are in the last one."""
     total = float(sum(weights))
-    place = unit_hash(key, seed)
+    place = unit_hash(key, seed, "split")
     part = F.lit(len(weights) - 1)
     for number, edge in reversed(list(enumerate(accumulate(weights[:-1])))):
         part = F.when(place < edge / total, number).otherwise(part)

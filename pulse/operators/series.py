@@ -9,17 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulse.operators.joins import lookup_join, one_row_per, salted_join
-
-# about 270 years: the bound on every calendar, and so on what a fill orders in one task
-MAX_DAYS = 100_000
-
+from pulse.operators.ranking import carried_forward, numbered
 
 def _days(bounds: DataFrame) -> DataFrame:
     """Consecutive dates between the columns lo and hi of a one-row frame."""
-    checked = F.when(
-        F.datediff("hi", "lo") >= MAX_DAYS, F.raise_error(F.lit("calendar is too long"))
-    ).otherwise(F.sequence("lo", "hi", F.expr("interval 1 day")))
-    return bounds.filter("lo <= hi").select(F.explode(checked).alias("date"))
+    return bounds.filter("lo <= hi").select(
+        F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
 
 
 def calendar(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
@@ -49,9 +44,12 @@ def forward_fill(df: DataFrame, order: str, columns: Sequence[str],
                  by: Sequence[str] = ()) -> DataFrame:
     """Fill NULLs with the last earlier value.
 
-    For calendar-length series: each key holds one row per day (see MAX_DAYS).
-    Rows of activity belong in :func:`asof_join`.
+    With keys, each key holds one row per day. Without, the order is cut into
+    ranges and the last value of each range is carried on, so a series of any
+    length is filled.
     """
+    if not by:
+        return carried_forward(df, F.col(order), columns)
     past = Window.partitionBy(*by).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -64,9 +62,8 @@ def drop_seed(df: DataFrame, start: dt.date, date: str = "date") -> DataFrame:
 
 
 def after_first(series: DataFrame, n: int, order: str = "date") -> DataFrame:
-    """A calendar-length series without its first n rows."""
-    rank = F.row_number().over(Window.orderBy(order))
-    return series.withColumn("row", rank).filter(F.col("row") > n).drop("row")
+    """A series without its first n rows; ``order`` has no repeated value."""
+    return numbered(series, [F.asc(order)], "row").filter(F.col("row") >= n).drop("row")
 
 
 def gap_filled(series: DataFrame, columns: Sequence[str], days: DataFrame,

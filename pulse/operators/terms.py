@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulse.operators.activity import top_n_within
 from pulse.operators.joins import lookup_join, null_safe_join, salted_join
+from pulse.operators.ranking import numbered
 
 HOT_TERMS = 100_000
 
@@ -150,11 +151,18 @@ def key_terms(df: DataFrame, doc: str, tokens: Column, by: Sequence[str] = (),
     return best.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def decode_index(df: DataFrame, index: str, vocabulary: Sequence[str],
-                 word: str = "word") -> DataFrame:
-    """Words for zero-based vocabulary indices, by join."""
-    spark = df.sparkSession
-    table = spark.createDataFrame(list(enumerate(vocabulary)), f"{index} int, {word} string")
+def vocabulary(frequency: DataFrame, index: str = "index", word: str = "word") -> DataFrame:
+    """Every term with a number by falling document frequency, ties by term."""
+    return numbered(frequency, [F.desc("df"), F.asc("term")], index).withColumnRenamed("term", word)
+
+
+def encode_terms(rows: DataFrame, table: DataFrame, index: str = "index", word: str = "word") -> DataFrame:
+    """Vocabulary indices for the column term, by join."""
+    return rows.join(table.select(F.col(word).alias("term"), index), ["term"])
+
+
+def decode_index(df: DataFrame, index: str, table: DataFrame) -> DataFrame:
+    """Words, and whatever else the vocabulary table holds, for its indices, by join."""
     return df.join(table, [index], "left")
 
 

@@ -53,7 +53,16 @@ def _local_dir(application: str) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _delete_at_end(spark, path)
+    return path
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have Hadoop's file system remove a folder when the session's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def use_checkpoints(spark: SparkSession) -> None:

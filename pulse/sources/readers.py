@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulse.sources.schema import SERIES_FILE
+from pulse.sources.sinks import CSV_NULL
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -29,6 +30,8 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
         .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", CSV_NULL)
+        .option("emptyValue", "")
         .csv(path)
     )
 

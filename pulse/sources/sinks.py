@@ -9,6 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 ROWS_PER_CSV_FILE = 100_000
+#: Marks NULL in exports, so that an empty text stays an empty text.
+CSV_NULL = "\\N"
 
 
 def stage(df: DataFrame, path: str, partition_by: Sequence[str] = (),
@@ -38,6 +40,8 @@ def export_csv(df: DataFrame, columns: Sequence[str], path: str, header: bool =
         .option("header", header)
         .option("quoteAll", True)
         .option("escape", '"')
+        .option("nullValue", CSV_NULL)
+        .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", ROWS_PER_CSV_FILE)

@@ -1,7 +1,9 @@
 """Daily counts and keyword rates as new files arrive.
 
-The same figures as the batch jobs, kept up to date: a day is written once, when
-the watermark has passed it, so the state holds only the days still open.
+The same figures as the batch jobs for finished days: a day is written once, when
+the watermark has passed it, so the state holds only the days still open. The
+latest day stays open until rows of a later one arrive, and rows that come more
+than ``delay`` after their day are not counted; the batch jobs count both.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ def daily_rates(stream: DataFrame, time: Column, flags: Mapping[str, Column] | N
                 delay: str = "1 day") -> DataFrame:
     """Rows per day, and the share of rows where each flag holds.
 
-    ``time`` must be a timestamp; rows later than ``delay`` are not counted.
+    ``time`` must be a timestamp without zone (see ``functions.timefx``); rows
+    later than ``delay`` are not counted.
     """
     named = dict(flags or {})
+    # The start of the calendar day as seconds since 1970: no step looks at the session zone.
+    day = F.timestamp_seconds(F.unix_date(F.to_date(time)) * 86_400)
     rows = stream.select(
-        time.cast("timestamp").alias("event_time"), *[f.alias(n) for n, f in named.items()]
+        day.alias("event_time"), *[f.alias(n) for n, f in named.items()]
     ).withWatermark("event_time", delay)
     return rows.groupBy(F.window("event_time", "1 day")).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col(n).cast("int")).alias(n) for n in named]
-    ).select(F.to_date("window.start").alias("date"), "n", *named)
+    ).select(
+        F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86_400).cast("int")).alias("date"), "n", *named)
 
 
 def keep_table(daily: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

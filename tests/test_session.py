@@ -7,6 +7,12 @@ class Conf(dict):
     pass
 
 
+@pytest.fixture(autouse=True)
+def no_jvm(monkeypatch):
+    """The stand-in session has no JVM that could clean up at its end."""
+    monkeypatch.setattr(session, "_delete_at_end", lambda spark, path: None)
+
+
 class FakeSession:
     """Only what the folder lookup asks of a session."""
 

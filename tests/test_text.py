@@ -64,8 +64,8 @@ def test_vector_form_agrees_with_long_form(spark, docs):
     model = Pipeline(stages=learning.count_stages("w")).fit(rows)
     cells = model.transform(rows).select(
         "id", F.posexplode(vector_to_array("weights")).alias("index", "weight")).filter("weight > 0")
-    decoded = {(r.id, r.word): r.weight
-               for r in terms.decode_index(cells, "index", model.stages[0].vocabulary).collect()}
+    table = spark.createDataFrame(list(enumerate(model.stages[0].vocabulary)), "index int, word string")
+    decoded = {(r.id, r.word): r.weight for r in terms.decode_index(cells, "index", table).collect()}
     long = terms.tf_idf(rows, "id", F.col("w")).filter("tf_idf > 0")
     assert decoded == pytest.approx({(r.id, r.term): r.tf_idf for r in long.collect()})
 
