@@ -211,8 +211,8 @@ def _count_windows(words: DataFrame, window: int) -> DataFrame:
 
     windows = words.mapInArrow(spread, "c1 long, c2 long, weight int, start int, w1 long, w2 long")
     place = F.xxhash64("c1", "c2", "start")
-    repeated = windows.groupBy("w1", "w2").agg(
-        (_several(place) | (F.max("weight") > 1)).alias("several")).where("several").drop("several")
+    repeated = staged(windows.groupBy("w1", "w2").agg(
+        (_several(place) | (F.max("weight") > 1)).alias("several")).where("several").drop("several"), "segment-windows")
     starts = windows.join(repeated, ["w1", "w2"]).groupBy("c1", "c2").agg(
         F.array_distinct(F.collect_list("start")).alias("starts"))  # at most the windows of one segment
     return starts.select("c1", "c2", F.transform(
@@ -223,13 +223,17 @@ def repeated_intervals(docs: DataFrame, texts: DataFrame, window: int = WINDOW,
                        shard_words: int = SHARD_WORDS, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """(did, key, cuts): intervals of words to remove, for each document that has some."""
     segments = staged(_segments(docs, window, gram), "segments")
-    marks = segments.groupBy("mark").agg(_several(_place()).alias("several")).where("several").drop("several")
+    # Staged, so that the join deals both sides anew and the rows of a very common passage can be split.
+    marks = staged(segments.groupBy("mark").agg(_several(_place()).alias("several")).where("several").drop("several"),
+                   "segment-marks")
     places = staged(segments.join(marks, "mark", "left_semi"), "segment-places")
     entries = staged(places.groupBy("c1", "c2").agg(
         F.when(_several(_place()), 2).otherwise(1).alias("weight"),
         *[F.first(c).alias(c) for c in ("did", "key", "at", "n", "mark")]), "segment-entries")
-    sizes = entries.groupBy("mark").agg((F.count(F.lit(1)) > hot_entries).alias("hot"))
-    words = staged(_entry_words(entries.join(sizes, "mark"), texts), "segment-words")
+    hot = staged(entries.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > hot_entries).select("mark", F.lit(True).alias("hot")), "segment-hot")
+    marked = entries.join(hot, "mark", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    words = staged(_entry_words(marked, texts), "segment-words")
     runs = _search_shards(words.where("not hot"), window, shard_words).unionByName(
         _count_windows(words.where("hot"), window))
     runs = staged(runs.where(F.size("runs") > 0), "segment-runs")
