@@ -66,11 +66,13 @@ def _windows(docs: DataFrame, run: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, key, cut): the line numbers to delete, for each document that has some."""
     windows = staged(_windows(docs, run), "line-windows")
-    marks = windows.where("fresh").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Repeated fingerprints and contents are staged, so that the joins deal both sides anew and can split hot ones.
+    marks = staged(windows.where("fresh").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"),
+                   "line-marks")
     candidates = windows.join(marks, "mark", "left_semi")
     place = F.struct("doc_id", "key", "pos")
-    first = candidates.groupBy("w1", "w2").agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = staged(candidates.groupBy("w1", "w2").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-firsts")
     later = candidates.join(first, ["w1", "w2"]).where(place > F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("cut"))
 
