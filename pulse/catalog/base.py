@@ -154,8 +154,11 @@ def sql_tokens(column: str) -> str:
     return f"list_filter(string_split_regex({column}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
-def sql_clean(column: str, stop=STOP_WORDS) -> str:
+def sql_clean(column: str, stop=STOP_WORDS, lemmas=()) -> str:
     kept = f"list_filter({sql_tokens(column)}, lambda w: lower(w) NOT IN ({quoted(stop)}))"
+    if lemmas:
+        cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in lemmas)
+        kept = f"list_transform({kept}, lambda w: CASE lower(w) {cases} ELSE w END)"
     letters = f"list_transform({kept}, lambda w: lower(regexp_replace(w, '[^A-Za-z]', '', 'g')))"
     return f"list_filter({letters}, lambda w: w <> '')"
 

@@ -130,9 +130,7 @@ def flagged_daily(t: Tables) -> DataFrame:
 FROM orders LEFT JOIN filled ON filled.date = CAST(o_orderdate AS DATE)""")
 def enriched_rows(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    # staged: the size check of the lookup then reads a short table
-    filled = stage(market.market_series(*_indexes(t)).select("date", "index_f"), t.scratch("index"))
-    return series.enrich_by_date(rows, filled, ["o_orderkey"])
+    return series.enrich_by_date(rows, market.market_series(*_indexes(t)).select("date", "index_f"))
 
 
 @query("J8", f"""WITH sf AS ({sql_series('F', 'index_f')}),
@@ -144,7 +142,7 @@ def asof_join(t: Tables) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("date")
     )
     return series.asof_join(
-        rows, t.series("F", "index_f"), ["index_f"], ["l_orderkey", "l_linenumber", "l_partkey"]
+        rows, t.series("F", "index_f"), ["index_f"]
     )
 
 
@@ -159,7 +157,7 @@ def asof_join_by_group(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("known")
     )
     return series.asof_join(
-        dated.select("o_orderkey", "o_orderstatus", "date"), known, ["known"], ["o_orderkey"],
+        dated.select("o_orderkey", "o_orderstatus", "date"), known, ["known"],
         by=["o_orderstatus"],
     )
 

@@ -13,7 +13,7 @@ from pulse.plans.profile import csv_round_trip as round_trip
 from pulse.plans.profile import prune_and_stage, quality_profile
 from pulse.sources.readers import file_inventory as inventory
 from pulse.sources.readers import load_csv, load_series, local_lookup, register
-from pulse.sources.schema import INT, REAL, TEXT, struct_of
+from pulse.sources.schema import INT, REAL, SUBMISSION_FLAGS, SUBMISSIONS, TEXT, struct_of
 from pulse.sources.sinks import report_csv, stage, stage_new
 
 
@@ -136,12 +136,45 @@ def prune_stage(t: Tables) -> DataFrame:
     """More than half of the posts have no label: both label columns are pruned."""
     wide = t.table("documents").join(t.labels, ["doc_id"], "left")
     clean = prune_and_stage(wide, t.scratch("clean"), 0.5)
-    assert clean.columns == t.table("documents").columns, clean.columns
     return clean.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("n_sources")
     )
 
 
+def _wide_values() -> dict[str, tuple[str, str]]:
+    """Type and SQL value of every submission column, with missing values planted at other rates for each."""
+    values = {}
+    for i, field in enumerate(SUBMISSIONS.fields):
+        kind, every = field.dataType.simpleString(), i % 9 + 2
+        value = {"string": "source", "boolean": "doc_id % 5 = 0", "bigint": "n_chars"}[kind]
+        blank = f" WHEN doc_id % {every} = 1 THEN ''" if kind == "string" else ""
+        values[field.name] = kind, f"CASE WHEN doc_id % {every} = 0 THEN NULL{blank} ELSE {value} END"
+    return values
+
+
+def _wide_posts(t: Tables) -> DataFrame:
+    return t.table("documents").select(*[F.expr(sql).alias(name) for name, (_, sql) in _wide_values().items()])
+
+
+_BLANK = {name: f"({sql}) IS NULL" + (f" OR ({sql}) = ''" if kind == "string" else "")
+          for name, (kind, sql) in _wide_values().items()}
+
+
+@query("C1 S1 A13", _profile_sql(_BLANK, "documents"))
+def wide_profile(t: Tables) -> DataFrame:
+    """The profile of all declared submission columns."""
+    return quality_profile(_wide_posts(t), SUBMISSION_FLAGS)
+
+
+@query("C2 P3", " UNION ALL ".join(
+    f"SELECT '{name}' AS kept FROM documents HAVING COUNT(*) FILTER (WHERE {rule}) <= 0.45 * COUNT(*)"
+    for name, rule in _BLANK.items()))
+def wide_prune(t: Tables) -> DataFrame:
+    """The submission columns that are left when sparse ones are dropped."""
+    clean = prune_and_stage(_wide_posts(t), t.scratch("wide"), 0.45)
+    return local_lookup(t.spark, [(c,) for c in clean.columns], struct_of(kept=TEXT))
+
+
 @query("S11 A1 A2", """SELECT 'month' AS grain, strftime(o_orderdate, '%Y-%m') AS bucket, COUNT(*) AS n
 FROM orders GROUP BY ALL UNION ALL
 SELECT 'total', 'all', COUNT(*) FROM orders""")

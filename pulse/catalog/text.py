@@ -56,6 +56,8 @@ FLAGS = {
 RATES = ", ".join(f"AVG(CAST({rule} AS INTEGER)) AS {name}" for name, rule in FLAGS.items())
 ON_TOPIC = f"regexp_matches(body, '(?i){'|'.join(TOPIC)}')"
 CLEAN = f"{POSTS}, clean AS (SELECT *, {sql_clean('body')} AS w FROM posts)"
+LEMMA_CLEAN = f"{POSTS}, clean AS (SELECT *, {sql_clean('body', lemmas=LEMMAS)} AS w FROM posts)"
+LEMMA_LONG = f"{LEMMA_CLEAN}, rows AS (SELECT id, year(t) AS year, unnest(w) AS term FROM clean)"
 LONG = f"{CLEAN}, rows AS (SELECT id, year(t) AS year, unnest(w) AS term FROM clean)"
 SCORE = (
     f"len(list_filter(w, lambda x: x IN ({quoted(POSITIVE)}))) - "
@@ -142,13 +144,13 @@ def length_histogram(t: Tables) -> DataFrame:
     ).orderBy("length")
 
 
-@query("C25 T9 T13 O3 A16 F2", f"""WITH {LONG}, counts AS (
+@query("C25 T4 T9 T13 O3 A16 F2", f"""WITH {LEMMA_LONG}, counts AS (
   SELECT CAST(year AS INTEGER) AS year, term, COUNT(*) AS n FROM rows GROUP BY ALL)
 SELECT year, term, n, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, term) AS rank FROM counts)
 WHERE rank <= 300""")
 def top_words(t: Tables) -> DataFrame:
-    return text.top_words(t.posts, "body", _year(), 300)
+    return text.top_words(t.posts, "body", _year(), 300, lemmas=dict(LEMMAS))
 
 
 @query("A16 T13", f"""WITH {LONG} SELECT CAST(year AS INTEGER) AS year, term, COUNT(*) AS n FROM rows
@@ -172,13 +174,13 @@ best AS (SELECT *, row_number() OVER (PARTITION BY {by}, id ORDER BY w DESC, df
 keys AS (SELECT {by}, term, COUNT(*) AS n_docs FROM best WHERE r = 1 AND w > 0 GROUP BY ALL)"""
 
 
-@query("C26 T10 T11 T14 W6 F1", f"""WITH {CLEAN},
+@query("C26 T4 T10 T11 T14 W6 F1", f"""WITH {LEMMA_CLEAN},
 rows AS (SELECT CAST(year(t) AS INTEGER) AS period, id, unnest(w) AS term FROM clean),
 sizes AS (SELECT CAST(year(t) AS INTEGER) AS period, COUNT(*) AS n FROM posts GROUP BY 1),
 {KEYED.format(by='period')}
 SELECT period, term, n_docs FROM keys""")
 def key_terms(t: Tables) -> DataFrame:
-    return text.key_words(t.posts, "id", "body", _year())
+    return text.key_words(t.posts, "id", "body", _year(), lemmas=dict(LEMMAS))
 
 
 @query("C33 T9 T14", f"""WITH {COMMENTS}, bad AS (
@@ -238,12 +240,12 @@ def sentence_counts(t: Tables) -> DataFrame:
     return t.posts.select("id", F.size(words.sentences(F.col("body"))).alias("n_sentences"))
 
 
-@query("T2 T3 T5 T6", f"""WITH {CLEAN} SELECT id, CAST(len({sql_tokens('body')}) AS INTEGER) AS n_raw,
+@query("T2 T3 T4 T5 T6 T9", f"""WITH {LEMMA_CLEAN} SELECT id, CAST(len({sql_tokens('body')}) AS INTEGER) AS n_raw,
 CAST(len(w) AS INTEGER) AS n_clean, md5(array_to_string(w, ' ')) AS clean_digest FROM clean""")
 def clean_text(t: Tables) -> DataFrame:
     body = F.col("body")
     raw = t.posts.select("id", "body", F.size(words.tokens(body)).alias("n_raw"))
-    return computed_once(raw, "w", words.clean_tokens(body)).select(
+    return computed_once(raw, "w", words.clean_tokens(body, lemmas=dict(LEMMAS))).select(
         "id", "n_raw", F.size("w").alias("n_clean"),
         F.md5(words.joined(F.col("w"))).alias("clean_digest"),
     )
@@ -258,12 +260,13 @@ def lemma_totals(t: Tables) -> DataFrame:
     """Terms are counted before the dictionary join, so the join sees each term once."""
     lemmas = local_lookup(t.spark, LEMMAS, struct_of(token=TEXT, lemma=TEXT))
     totals = terms.corpus_terms(t.posts, words.clean_tokens(F.col("body")))
-    return terms.lemmatise_rows(totals, lemmas, ["term"]).groupBy("term").agg(F.sum("n").alias("n"))
+    return terms.lemmatise_rows(totals, lemmas).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 @query("T4 T6", f"""WITH {CLEAN} SELECT id, md5(array_to_string(list_transform(w, lambda x: CASE
   {' '.join(f"WHEN x = '{a}' THEN '{b}'" for a, b in LEMMAS)} ELSE x END), ' ')) AS digest FROM clean""")
 def lemmatised_text(t: Tables) -> DataFrame:
+    """The dictionary as a table: one scan of the texts, whatever its size."""
     lemmas = local_lookup(t.spark, LEMMAS, struct_of(token=TEXT, lemma=TEXT))
     rows = t.posts.select("id", words.clean_tokens(F.col("body")).alias("w"))
     return terms.lemmatise(rows, "id", "w", lemmas).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,8 +67,12 @@ def joined(words: Column, separator: str = " ") -> Column:
     return F.concat_ws(separator, words)
 
 
-def clean_tokens(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
-    """The token, stop-word and normalising steps, with fewer passes over each word.
+def clean_tokens(text: Column, stop: Sequence[str] = STOP_WORDS,
+                 lemmas: Mapping[str, str] | None = None) -> Column:
+    """The token, stop-word, lemma and normalising steps, with fewer passes over each word.
+
+    ``lemmas`` maps lower-case words to their lemmas before normalising, inside the
+    row; longer dictionaries belong in :func:`pulse.operators.terms.lemmatise`.
 
     The same result as ``normalise(without(tokens(text), stop))``: letters and
     digits outside A-Z become the digit 0 for the whole text at once, words are
@@ -78,6 +82,9 @@ def clean_tokens(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
     """
     marked = F.lower(F.regexp_replace(text, r"[\p{L}\p{N}&&[^A-Za-z]]+", "0"))
     kept = F.filter(F.split(marked, "[^a-z0]+"), lambda t: ~t.isin("", *stop))
+    if lemmas:
+        table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
+        kept = F.transform(kept, lambda t: F.lower(F.coalesce(F.try_element_at(table, t), t)))
     bare = F.transform(kept, lambda t: F.replace(t, F.lit("0"), F.lit("")))
     return F.filter(bare, lambda t: t != "")
 

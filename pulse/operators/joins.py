@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 SALTS = 16
 _SALT = "join_salt"
 
@@ -44,18 +43,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Se
     return joined.select(*left.columns, *added)
 
 
-def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str],
-                how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join rows with a lookup table: broadcast below a counted bound, else salted.
-
-    The count stops at ``max_rows + 1`` rows. Meant for stored tables (series,
-    lexicons, code lists), where counting costs one short scan.
-    """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return left.join(F.broadcast(lookup), list(on), how)
-    return salted_join(left, lookup, on, spread, how)
-
-
 def one_row_per(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pass rows through, failing the query when a key occurs twice."""
     values = [c for c in df.columns if c not in keys]

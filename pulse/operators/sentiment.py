@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulse.operators.joins import lookup_join
 from pulse.operators.terms import numbered_tokens
 
 # A small general lexicon; pass your own for real work.
@@ -43,7 +42,7 @@ def sentiment_class(tokens: Column, positive: Sequence[str] = POSITIVE,
 def sentiment_from_table(df: DataFrame, doc: str, tokens: str, lexicon: DataFrame) -> DataFrame:
     """Class from a lexicon table (term, weight), for lexicons too large for a list."""
     rows = numbered_tokens(df, doc, tokens)
-    scores = lookup_join(rows, lexicon, ["term"], [doc, "place"], "inner").groupBy(doc).agg(
+    scores = rows.join(lexicon, ["term"]).groupBy(doc).agg(
         F.sum("weight").alias("score")
     )
     return df.join(scores, [doc], "left").withColumn(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulse.operators.joins import lookup_join, one_row_per, salted_join
+from pulse.operators.joins import one_row_per
 from pulse.operators.ranking import carried_forward, numbered
 
 def _days(bounds: DataFrame) -> DataFrame:
@@ -82,26 +82,38 @@ def daily_panel(first: DataFrame, second: DataFrame, series: DataFrame,
     )
 
 
-def enrich_by_date(activity: DataFrame, series: DataFrame, spread: Sequence[str]) -> DataFrame:
-    """Every activity row with the series values of its date."""
-    return lookup_join(activity, one_row_per(series, ["date"]), ["date"], spread)
+def enrich_by_date(activity: DataFrame, series: DataFrame) -> DataFrame:
+    """Every activity row with the series values of its date.
+
+    Spark broadcasts the series if its size allows, and splits hot dates if not.
+    """
+    return activity.join(one_row_per(series, ["date"]), ["date"], "left")
 
 
-def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], spread: Sequence[str],
-              date: str = "date", by: Sequence[str] = ()) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], date: str = "date",
+              by: Sequence[str] = ()) -> DataFrame:
     """Each left row with the last right values on or before its date.
 
-    The right side (one row per key and date) is stretched over the days each
-    row stays current; the left side, which may be large and skewed, then needs
-    an equi-join only and is never ordered.
+    The right side (one row per key and date) is stretched over the days each row
+    stays current, up to the last date of its key; left rows after that take the
+    latest values. The left side, which may be large and skewed, is read once,
+    needs equi-joins only and is never ordered.
     """
     keys = list(by)
-    last_day = left.agg(F.max(date).alias("last_day")).scalar()
-    order = Window.partitionBy(*keys).orderBy(date)
-    current = one_row_per(right, [*keys, date]).withColumns({
-        "following": F.lead(date).over(order), "last_day": last_day,
-    }).withColumn("until", F.coalesce(F.date_sub("following", 1), F.col("last_day")))
-    stretched = current.filter(F.col("until") >= F.col(date)).select(
-        *keys, F.explode(F.sequence(date, "until", F.expr("interval 1 day"))).alias(date), *values
-    )
-    return salted_join(left, stretched, [*keys, date], spread, "left")
+    known = one_row_per(right, [*keys, date])
+    dates = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(date, *values))).alias("known"))
+    current = dates.select(*keys, F.posexplode("known").alias("place", "now"), F.col("known")).select(
+        *keys, "now", F.get("known", F.col("place") + 1)[date].alias("following"))
+    until = F.coalesce(F.date_sub("following", 1), F.col("now")[date])
+    stretched = current.select(
+        *keys, F.explode(F.sequence(F.col("now")[date], until, F.expr("interval 1 day"))).alias(date),
+        *[F.col("now")[v].alias(v) for v in values])
+    latest = F.struct(F.max(date).alias("last_day"), *[F.max_by(v, date).alias(v) for v in values])
+    joined = left.join(stretched, [*keys, date], "left")
+    if keys:
+        joined = joined.join(known.groupBy(*keys).agg(latest.alias("latest")), keys, "left")
+    else:
+        joined = joined.withColumn("latest", known.agg(latest.alias("latest")).scalar())
+    return joined.withColumns({
+        v: F.when(F.col(date) > F.col("latest.last_day"), F.col("latest")[v]).otherwise(F.col(v)) for v in values
+    }).select(*left.columns, *values)

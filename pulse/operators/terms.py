@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.operators.activity import top_n_within
-from pulse.operators.joins import lookup_join, null_safe_join, salted_join
+from pulse.operators.joins import null_safe_join, salted_join
 from pulse.operators.ranking import numbered
 
 HOT_TERMS = 100_000
@@ -36,18 +36,21 @@ def numbered_tokens(df: DataFrame, doc: str, tokens: str) -> DataFrame:
     )
 
 
-def lemmatise_rows(rows: DataFrame, lemmas: DataFrame, spread: Sequence[str]) -> DataFrame:
+def lemmatise_rows(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace each term by its lemma; ``lemmas`` has the columns token and lemma."""
     table = lemmas.select(F.col("token").alias("term"), "lemma")
-    return lookup_join(rows, table, ["term"], spread).withColumn(
+    return rows.join(table, ["term"], "left").withColumn(
         "term", F.coalesce("lemma", "term")
     ).drop("lemma")
 
 
 def lemmatise(df: DataFrame, doc: str, tokens: str, lemmas: DataFrame) -> DataFrame:
-    """Replace the tokens of an array by their lemmas, order kept."""
+    """Replace the tokens of an array by their lemmas, order kept, for dictionaries of any size.
+
+    A short dictionary needs no join: pass it to :func:`pulse.functions.text.clean_tokens`.
+    """
     rows = numbered_tokens(df, doc, tokens)
-    changed = lemmatise_rows(rows, lemmas, [doc, "place"])
+    changed = lemmatise_rows(rows, lemmas)
     arrays = changed.groupBy(doc).agg(
         F.array_sort(F.collect_list(F.struct("place", "term"))).alias("ordered")
     ).select(doc, F.col("ordered.term").alias("lemmas"))

@@ -63,20 +63,21 @@ def feature_report(df: DataFrame, measures: Sequence[str], rates: Sequence[str],
 
 
 def top_words(df: DataFrame, body: str, year: Column, n: int = 300,
-              stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+              stop: Sequence[str] = STOP_WORDS, lemmas: Mapping[str, str] | None = None) -> DataFrame:
     """The n most frequent clean words of each year."""
     rows = df.select(year.alias("year"), body)
-    return top_terms(corpus_terms(rows, clean_tokens(F.col(body), stop), ["year"]), ["year"], n)
+    return top_terms(corpus_terms(rows, clean_tokens(F.col(body), stop, lemmas), ["year"]), ["year"], n)
 
 
 def key_words(df: DataFrame, doc: str, body: str, period: Column, n: int | None = None,
-              stop: Sequence[str] = STOP_WORDS, min_docs: int = 1) -> DataFrame:
+              stop: Sequence[str] = STOP_WORDS, min_docs: int = 1,
+              lemmas: Mapping[str, str] | None = None) -> DataFrame:
     """Words most often the highest-TF-IDF word of a text, per period.
 
     Each period has its own document frequencies, as if fitted alone.
     """
     rows = df.select(doc, period.alias("period"), body)
-    counts = key_terms(rows, doc, clean_tokens(F.col(body), stop), ["period"], min_docs)
+    counts = key_terms(rows, doc, clean_tokens(F.col(body), stop, lemmas), ["period"], min_docs)
     return counts if n is None else top_n_within(counts, ["period"], "term", n, "n_docs")
 
 

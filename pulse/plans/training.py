@@ -26,6 +26,7 @@ from pulse.operators.sampling import balance, hash_split
 from pulse.operators.sentiment import sentiment_class
 from pulse.sources.sinks import cached
 
+# The columns and model settings of the published training sets.
 AWARD_COLUMNS = (
     "id", "body", "controversiality", "created_utc", "edited", "gilded", "is_submitter", "score",
     "stickied",
@@ -94,7 +95,7 @@ def deleted_set(comments: DataFrame, in_period: Column, frequent_words: Sequence
 
 
 def _settings(kind: str) -> dict:
-    """Settings each published model keeps fixed."""
+    """Settings each published model keeps."""
     return {"svm_text": {"maxIter": 30}, "forest_deleted": {"numTrees": 50}}.get(kind, {})
 
 
@@ -111,6 +112,7 @@ def tuned_award_model(train: DataFrame, kind: str, grid: Mapping[str, Sequence]
     return learning.cross_validate(
         train, stages, learning.classifier(kind, **params), grid or learning.GRIDS[kind],
         learning.label_indexer(train, "gilded_or_not"), folds, parallelism, leak_free=leak_free,
+        key="id",
     )
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from pulse.sources.schema import SERIES_FILE
 from pulse.sources.sinks import CSV_NULL
 
+#: Bytes of one default split of a scan.
+SMALL_SCAN = 128 * 1024 * 1024
+
 
 def load(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet scan with a declared schema, so no footer is read to plan it."""
@@ -68,8 +71,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Use every core when a scan has fewer splits than the session has cores.
 
     One large row group is one task, which starves CPU-heavy text work on small
-    inputs. A scan that already has enough splits comes back unchanged, so on a
-    large table no row is moved.
+    inputs. Only scans below one default split are dealt out, whatever the number
+    of cores, so on a large table no row is ever moved.
     """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = int(size) < SMALL_SCAN and df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if small else df

@@ -29,7 +29,12 @@ SUBMISSION_NUMBERS = (
     "thumbnail_width", "retrieved_on",
 )
 SUBMISSION_STRINGS = (
-    "author", "author_id", "subreddit", "title", "selftext", "domain", "url", "link_flair_text",
+    "adserver_click_url", "adserver_imp_pixel", "author", "author_flair_css_class", "author_flair_text",
+    "author_id", "crosspost_parent", "distinguished", "domain", "domain_override", "edited", "embed_type",
+    "embed_url", "href_url", "id", "imp_pixel", "link_flair_css_class", "link_flair_text", "mobile_ad_url",
+    "original_link", "parent_whitelist_status", "permalink", "post_hint", "promoted_by",
+    "promoted_display_name", "promoted_url", "selftext", "subreddit", "subreddit_id", "suggested_sort",
+    "third_party_tracking", "third_party_tracking_2", "thumbnail", "title", "url", "whitelist_status",
 )
 
 
