@@ -95,7 +95,7 @@ def fingerprint_text(lanes: Column) -> Column:
 
 
 def neighbours(unique: DataFrame) -> DataFrame:
-    """(did, key, next_did, next_key, previous_did, previous_key, previous_chars) along descending doc_id.
+    """(did, key, doc_id, times, previous_did, previous_key, previous_chars) along descending doc_id.
 
     Ids alone are dealt into ranges and written, once; inside a range a window
     finds the neighbours, and the ends of the ranges, a row for each, are linked
@@ -107,22 +107,17 @@ def neighbours(unique: DataFrame) -> DataFrame:
     ranges = staged(unique.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "id-ranges")
     me = F.struct("did", "key", "chars")
     inside = Window.partitionBy("part").orderBy(*order)
-    linked = ranges.select("*", F.lead(me).over(inside).alias("next"), F.lag(me).over(inside).alias("previous"))
-    ends = linked.groupBy("part").agg(
-        F.max(F.when(F.col("previous").isNull(), me)).alias("first"),
-        F.max(F.when(F.col("next").isNull(), me)).alias("last"))
+    linked = ranges.select("*", F.lag(me).over(inside).alias("previous"), F.lead("did").over(inside).alias("next_did"))
     # As many rows as shuffle partitions.
+    ends = linked.groupBy("part").agg(F.max(F.when(F.col("next_did").isNull(), me)).alias("last"))
     around = Window.orderBy("part")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select(
-        "part",
-        F.coalesce(F.lead("first").over(around), F.first("first").over(whole)).alias("after"),
-        F.coalesce(F.lag("last").over(around), F.last("last").over(whole)).alias("before"))
+    ends = ends.select("part", F.coalesce(F.lag("last").over(around), F.last("last").over(whole)).alias("before"))
     both = linked.join(F.broadcast(ends), "part").select(
-        "did", "key", F.coalesce("next", "after").alias("next"), F.coalesce("previous", "before").alias("previous"))
+        "did", "key", "doc_id", "times", F.coalesce("previous", "before").alias("previous"))
     return both.select(
-        "did", "key", F.col("previous.did").alias("previous_did"), F.col("previous.key").alias("previous_key"),
-        F.col("previous.chars").alias("previous_chars"))
+        "did", "key", "doc_id", "times", F.col("previous.did").alias("previous_did"),
+        F.col("previous.key").alias("previous_key"), F.col("previous.chars").alias("previous_chars"))
 
 
 def fingerprint_query(docs: DataFrame) -> DataFrame:
@@ -131,19 +126,22 @@ def fingerprint_query(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
-    unique = rows.groupBy("did", "key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
-    ids = rows.select("doc_id", "did", "key", F.char_length("text").alias("chars")).distinct()
+    # Nothing but the text is gathered here: both uses below then share one shuffle of the texts.
+    unique = rows.groupBy("did", "key").agg(F.first("text").alias("text"))
+    links = neighbours(rows.groupBy("doc_id", "did", "key", F.char_length("text").alias("chars")).agg(
+        F.count(F.lit(1)).alias("times")))
     # Each text once with the document before it, for which it is the next one.
-    placed = unique.join(neighbours(ids), ["did", "key"]).withColumn("lanes", fingerprint(F.col("text")))
-    heads = placed.select(
+    heads = unique.join(
+        links.select("did", "key", "previous_did", "previous_key", "previous_chars"), ["did", "key"]
+    ).withColumn("lanes", fingerprint(F.col("text"))).select(
         F.col("previous_did").alias("did"), F.col("previous_key").alias("key"),
         F.substring(F.col("text"), F.lit(1), F.floor(F.col("previous_chars") / 3).cast("int")).alias("head"),
         F.col("lanes").alias("next_lanes"))
     chars = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - F.floor(chars / 3).cast("int")), F.col("head"))
     whole = (
-        placed.select("did", "key", "doc_id", "text", "times", "lanes").join(heads, ["did", "key"])
+        unique.join(links.select("did", "key", "doc_id", "times"), ["did", "key"])
+        .withColumn("lanes", fingerprint(F.col("text"))).join(heads, ["did", "key"])
         .withColumn("edited", edited).withColumn("edited_lanes", fingerprint(F.col("edited")))
     )
     return whole.select(
