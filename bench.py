@@ -22,7 +22,8 @@ HEADLINE = (
     "gap_filled_series", "daily_panel", "enriched_daily", "asof_join", "keyword_rates",
     "topic_share", "topic_hot_words", "price_percentiles", "quantile_report", "length_histogram",
     "top_words", "key_terms", "class_key_terms", "sentiment_summary", "sentiment_daily",
-    "balanced_set", "deleted_set", "rule_report",
+    "balanced_set", "deleted_set", "rule_report", "vectorised_terms", "lemmatised_text", "sentiment_by_table",
+    "hashed_terms", "document_vectors", "clf_deleted",
 )
 
 
