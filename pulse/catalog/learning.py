@@ -249,6 +249,14 @@ def importance_scaled(t: Tables) -> DataFrame:
     return training.importance_comparison(training.deleted_models(train), test)
 
 
+@query("E6")
+def importance_ranked(t: Tables) -> DataFrame:
+    """The features of one model by falling importance."""
+    train, test, _ = training.deleted_splits(deleted_rows(t), SEED)
+    model = training.deleted_models(train, ["forest"])["forest"]
+    return evaluation.ranked_importances(evaluation.importances(model.transform(test), learning.classifier_of(model)))
+
+
 @query("C35 E2 E3 M4")
 def model_class_accuracy(t: Tables) -> DataFrame:
     train, test, _ = training.deleted_splits(deleted_rows(t), SEED)

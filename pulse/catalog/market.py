@@ -11,7 +11,6 @@ from pulse.catalog.base import POSTS, Tables, post_time, query, sql_series
 from pulse.operators import series
 from pulse.operators.activity import daily_counts
 from pulse.plans import market
-from pulse.sources.sinks import stage
 
 SEED_DAY, START = dt.date(1995, 1, 2), dt.date(1995, 1, 3)
 INDEXES = (("F", "index_f"), ("O", "index_o"), ("P", "index_p"))

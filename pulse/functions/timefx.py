@@ -17,10 +17,6 @@ def epoch_time(seconds: Column) -> Column:
     )
 
 
-def day(time: Column) -> Column:
-    return F.to_date(time)
-
-
 def calendar_parts(time: Column) -> dict[str, Column]:
     """date, year, month, day_of_week (1 = Sunday) and hour of a timestamp."""
     return {

@@ -104,7 +104,3 @@ def scaled_importances(by_model: Mapping[str, DataFrame]) -> DataFrame:
 
 def ranked_importances(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("importance"), F.asc("feature"))
-
-
-def label_distribution(df: DataFrame, label: str) -> DataFrame:
-    return count_by(df, [label])

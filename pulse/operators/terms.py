@@ -169,18 +169,6 @@ def decode_index(df: DataFrame, index: str, table: DataFrame) -> DataFrame:
     return df.join(table, [index], "left")
 
 
-def vector_cells(df: DataFrame, vector: str, keep: Sequence[str]) -> DataFrame:
-    """The stored cells of sparse vectors, one row per index; zeros never appear."""
-    sparse = F.unwrap_udt(vector)
-    return df.select(
-        *keep, F.explode_outer(F.arrays_zip(
-            sparse["indices"].alias("index"), sparse["values"].alias("value")
-        )).alias("cell"),
-    ).filter(F.col("cell").isNotNull()).select(
-        *keep, F.col("cell.index").alias("index"), F.col("cell.value").alias("value")
-    )
-
-
 def mean_vectors(df: DataFrame, vector: str, label: str) -> DataFrame:
     """Element-wise mean per label, one row per label and dimension."""
     return df.select(label, F.posexplode(vector).alias("dim", "x")).groupBy(label, "dim").agg(

@@ -16,9 +16,6 @@ COMMENT_STRINGS = (
 )
 COMMENT_FLAGS = ("is_submitter", "stickied", "can_gild", "author_cakeday")
 COMMENT_NUMBERS = ("created_utc", "score", "controversiality", "gilded", "retrieved_on")
-COMMENT_SPARSE = (
-    "author_cakeday", "author_flair_css_class", "author_flair_text", "distinguished", "retrieved_on",
-)
 SUBMISSION_FLAGS = (
     "archived", "author_cakeday", "brand_safe", "contest_mode", "disable_comments", "hidden",
     "hide_score", "is_crosspostable", "is_reddit_media_domain", "is_self", "is_video", "locked",
