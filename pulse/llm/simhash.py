@@ -36,6 +36,7 @@ from xxhash import xxh64_digest
 
 from pulse.llm.common import raw, staged
 from pulse.llm.graph import connected
+from pulse.llm.neardup import groups
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 
@@ -121,9 +122,8 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group; repeated rows stay once."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    """The document with the smallest doc_id of each group of near copies (``neardup``); repeated rows stay once."""
+    kept = groups(docs).groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
     return (
         docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
         .dropDuplicates(["doc_id"])
