@@ -122,9 +122,16 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (``neardup``); repeated rows stay once."""
-    kept = groups(docs).groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
+    """One document of each group of near copies (``neardup``): the smallest by doc_id, then by hash of the text.
+
+    Rows without an id come after all others, so a group that has only such rows
+    keeps one of them. Rows equal in doc_id and text stay once.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
+    kept = groups(docs).groupBy("root").agg(F.min(place).alias("place")).select(
+        F.col("place.doc_id").alias("kept_id"), F.col("place.key").alias("kept_key")).distinct()
+    marked = docs.withColumn("__key", F.xxhash64("text"))
     return (
-        docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-        .dropDuplicates(["doc_id"])
+        marked.join(kept, marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["__key"] == kept["kept_key"]), "left_semi")
+        .dropDuplicates(["doc_id", "__key"]).drop("__key")
     )

@@ -57,3 +57,15 @@ def test_fingerprints_meet_at_the_least_likeness():
         assert neardup.alike(one, other)
         missed += not set(neardup.bands(one)) & set(neardup.bands(other))
     assert missed == 0
+
+
+def test_rows_without_an_id_and_shared_ids_are_judged_by_their_texts(make_docs):
+    rows = [(None, "one text without an id"), (None, "another text without an id"), (None, "another text without an id"),
+            (3, "first text of a shared id"), (3, "second text of a shared id"), (3, "second text of a shared id"),
+            (None, "first text of a shared id"), (9, "second text of a shared id"), (None, None), (None, "")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.one_of_each_group(make_docs(rows)).collect()]
+    empty = [row for row in got if not row[1]]
+    assert len(empty) == 1
+    assert sorted(((i or 0, t) for i, t in got if t)) == [
+        (0, "another text without an id"), (0, "one text without an id"),
+        (3, "first text of a shared id"), (3, "second text of a shared id")]
