@@ -8,11 +8,17 @@ deleted by adding or subtracting its vector (``combined``).
 
 Lanes: a counter of paragraphs (mod 2^32); ``DENSE`` lanes that every paragraph
 fills with 32 random bits (mod 2^32), so that different multisets differ; and
-``SPARSE`` lanes (mod 2^16), of which a paragraph touches a single one with a
-random non-zero value. In the difference of two fingerprints a sparse lane stays zero only
-if no paragraph in which the texts differ touches it (up to one in 2^16). With d
-such paragraphs a share (1 - 1/SPARSE)^d of lanes stays zero, which gives d and the likeness
-1 - d / (paragraphs of both): the share of common paragraphs.
+``LEVELS`` times ``SPARSE`` lanes (mod 2^16), of which a paragraph touches a single
+one with a random non-zero value. Its level is l with probability 3/4^(l + 1) (the last
+level takes what is left), by its hash. In the difference of two fingerprints a sparse
+lane stays zero only if no paragraph in which the texts differ touches it (up to one in
+2^16). With d such paragraphs at a level a share (1 - 1/SPARSE)^d of its lanes stays zero,
+which gives d. Levels with fewer than ``OPEN`` zero lanes are full: their paragraphs are
+counted from the levels above, of which these are a known share. From the lowest
+level that is not full on, the sum divided by the share 1/4^l of paragraphs there gives
+d for the whole text, with the likeness 1 - d / (paragraphs of both): the share of common
+paragraphs. Twelve levels are not full below a thousand million differing paragraphs,
+more than a text can hold; the estimate of d is good to some 10 to 15 % at any size.
 
 Null and empty texts have no paragraphs and the zero fingerprint; two of them
 are wholly alike. Next documents follow descending doc_id, after the last the
@@ -28,7 +34,9 @@ from pyspark.sql import functions as F
 
 from pulse.llm.common import staged
 
-DENSE, SPARSE = 8, 128
+DENSE, SPARSE, LEVELS = 8, 128, 12
+#: Zero lanes that a level needs to be read.
+OPEN = 14
 _WIDE, _NARROW = 0xFFFFFFFF, 0xFFFF
 PARAGRAPH_END = r"\n|(?<=[.!?])\x20+"
 
@@ -39,30 +47,36 @@ def paragraphs(text: Column) -> Column:
 
 
 def _vector(paragraph: Column) -> Column:
-    """(dense lanes, number of the sparse lane, its value) of one paragraph."""
+    """(dense lanes, level and number of the sparse lane, its value) of one paragraph."""
     hashes = [F.xxhash64(F.lit(i), paragraph) for i in range(DENSE // 2)]
     dense = [half for h in hashes for half in (h.bitwiseAND(_WIDE), F.shiftrightunsigned(h, 32))]
     place = F.xxhash64(F.lit("lane"), paragraph)
+    # Pairs of zero bits at the end of a hash: each further pair is four times as rare.
+    low = F.xxhash64(F.lit("level"), paragraph).bitwiseAND((1 << 2 * (LEVELS - 1)) - 1)
+    zeros = F.bit_count((low.bitwiseAND(-low)) - 1).cast("int")
     return F.struct(
         F.array(*dense).alias("dense"),
+        F.when(low == 0, LEVELS - 1).otherwise(F.shiftright(zeros, 1)).alias("level"),
         F.pmod(place, F.lit(SPARSE)).cast("int").alias("lane"),
         (F.pmod(F.shiftrightunsigned(place, 32), F.lit(_NARROW)) + 1).alias("value"))
 
 
 def fingerprint(text: Column) -> Column:
-    """Array of 1 + DENSE + SPARSE longs: counter, dense and sparse lanes."""
+    """Array of 1 + DENSE + LEVELS * SPARSE longs: counter, dense and sparse lanes."""
     vectors = F.transform(paragraphs(text), _vector)
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0).cast("long"), DENSE).alias("dense"),
-                    F.array_repeat(F.lit(0).cast("long"), SPARSE).alias("sparse"))
+                    F.array_repeat(F.array_repeat(F.lit(0).cast("long"), SPARSE), LEVELS).alias("sparse"))
 
     def add(state: Column, v: Column) -> Column:
         return F.struct(
             (state["n"] + 1).alias("n"),
             F.zip_with(state["dense"], v["dense"], lambda a, b: (a + b).bitwiseAND(_WIDE)).alias("dense"),
-            F.transform(state["sparse"], lambda a, i: F.when(
-                i == v["lane"], (a + v["value"]).bitwiseAND(_NARROW)).otherwise(a)).alias("sparse"))
+            F.transform(state["sparse"], lambda level, k: F.when(k == v["level"], F.transform(
+                level, lambda a, i: F.when(i == v["lane"], (a + v["value"]).bitwiseAND(_NARROW)).otherwise(a)))
+                .otherwise(level)).alias("sparse"))
 
-    return F.aggregate(vectors, zero, add, lambda s: F.concat(F.array(s["n"].bitwiseAND(_WIDE)), s["dense"], s["sparse"]))
+    return F.aggregate(vectors, zero, add, lambda s: F.concat(
+        F.array(s["n"].bitwiseAND(_WIDE)), s["dense"], F.flatten(s["sparse"])))
 
 
 def combined(one: Column, other: Column, sign: int = 1) -> Column:
@@ -72,25 +86,48 @@ def combined(one: Column, other: Column, sign: int = 1) -> Column:
     wide = 1 + DENSE
     return F.concat(
         F.zip_with(F.slice(one, 1, wide), F.slice(other, 1, wide), lambda a, b: lane(a, b).bitwiseAND(_WIDE)),
-        F.zip_with(F.slice(one, wide + 1, SPARSE), F.slice(other, wide + 1, SPARSE),
+        F.zip_with(F.slice(one, wide + 1, LEVELS * SPARSE), F.slice(other, wide + 1, LEVELS * SPARSE),
                    lambda a, b: lane(a, b).bitwiseAND(_NARROW)))
 
 
 def likeness(one: Column, other: Column) -> Column:
     """Estimated share of common paragraphs, from two fingerprints alone."""
-    start = 2 + DENSE
-    same = F.aggregate(
-        F.zip_with(F.slice(one, start, SPARSE), F.slice(other, start, SPARSE), lambda a, b: (a == b).cast("int")),
-        F.lit(0), lambda n, x: n + x)
-    differing = F.log(F.greatest(same, F.lit(0.5)) / SPARSE) / F.log(F.lit(1 - 1 / SPARSE))
+    same = F.zip_with(F.slice(one, 2 + DENSE, LEVELS * SPARSE), F.slice(other, 2 + DENSE, LEVELS * SPARSE),
+                      lambda a, b: (a == b).cast("int"))
+    # A list of one binds the comparison, which is then made once for all levels.
+    zeros = F.get(F.transform(F.array(same), lambda s: F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.aggregate(
+        F.slice(s, k * SPARSE + 1, SPARSE), F.lit(0), lambda n, x: n + x))), 0)
+    # From the last level down: what the levels so far hold, until one is full.
+    start = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("d"), F.lit(False).alias("full"))
+
+    def down(state: Column, zero: Column, share: Column) -> Column:
+        here = F.log(F.greatest(zero, F.lit(0.5)) / SPARSE) / F.log(F.lit(1 - 1 / SPARSE))
+        full = state["full"] | ((zero < OPEN) & (share < 4.0 ** (LEVELS - 1)))
+        held = state["held"] + here
+        return F.named_struct(F.lit("held"), held, F.lit("d"), F.when(full, state["d"]).otherwise(held * share), F.lit("full"), full)
+
+    levels = F.reverse(F.transform(zeros, lambda z, k: F.named_struct(
+        F.lit("zero"), z, F.lit("share"), F.pow(F.lit(4.0), k))))
+    differing = F.aggregate(levels, start, lambda s, x: down(s, x["zero"], x["share"]), lambda s: s["d"])
     both = F.get(one, 0) + F.get(other, 0)
     estimate = F.greatest(F.lit(0.0), F.lit(1.0) - differing / F.nullif(both, F.lit(0)))
     return F.when(one == other, 1.0).when(both == 0, 1.0).otherwise(estimate)
 
 
+def _trimmed(lanes: Column) -> Column:
+    """The lanes without the zeros at the end, which most texts have at all higher levels."""
+    last = F.array_position(F.transform(F.reverse(lanes), lambda v: v != 0), True)
+    return F.when(last == 0, F.slice(lanes, 1, 0)).otherwise(F.slice(lanes, 1, F.size(lanes) - last.cast("int") + 1))
+
+
+def _filled(lanes: Column) -> Column:
+    return F.concat(lanes, F.array_repeat(F.lit(0).cast("long"), 1 + DENSE + LEVELS * SPARSE - F.size(lanes)))
+
+
 def fingerprint_text(lanes: Column) -> Column:
-    """Hexadecimal form: 8 digits for wide lanes, 4 for narrow ones."""
-    return F.array_join(F.transform(lanes, lambda v, i: F.lower(
+    """Hexadecimal form: 8 digits for wide lanes, 4 for narrow ones, without zero lanes behind those of the first level."""
+    short = F.slice(lanes, 1, F.greatest(F.size(_trimmed(lanes)), F.lit(1 + DENSE + SPARSE)))
+    return F.array_join(F.transform(short, lambda v, i: F.lower(
         F.lpad(F.hex(v), F.when(i <= DENSE, 8).otherwise(4), F.lit("0")))), "")
 
 
@@ -136,13 +173,14 @@ def fingerprint_query(docs: DataFrame) -> DataFrame:
     ).withColumn("lanes", fingerprint(F.col("text"))).select(
         F.col("previous_did").alias("did"), F.col("previous_key").alias("key"),
         F.substring(F.col("text"), F.lit(1), F.floor(F.col("previous_chars") / 3).cast("int")).alias("head"),
-        F.col("lanes").alias("next_lanes"))
+        _trimmed(F.col("lanes")).alias("next_lanes"))
     chars = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - F.floor(chars / 3).cast("int")), F.col("head"))
     whole = (
         unique.join(links.select("did", "key", "doc_id", "times"), ["did", "key"])
         .withColumn("lanes", fingerprint(F.col("text"))).join(heads, ["did", "key"])
         .withColumn("edited", edited).withColumn("edited_lanes", fingerprint(F.col("edited")))
+        .withColumn("next_lanes", _filled(F.col("next_lanes")))
     )
     return whole.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"),

@@ -55,3 +55,18 @@ def test_awkward_rows(make_docs, awkward):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert multiset.fingerprint_query(make_docs([])).count() == 0
     assert multiset.fingerprint_query(make_docs([(1, "alone.")])).first()["near_next"] == 1.0
+
+
+def test_likeness_of_texts_with_thousands_of_differing_paragraphs(spark):
+    pairs, wanted = [], []
+    for n in (24, 400, 1600, 4000, 20_000):
+        for share in (0.0, 0.5, 0.9):
+            one = [f"doc a line {i} of {n}" for i in range(n)]
+            keep = int(n * share)
+            pairs.append(("\n".join(one), "\n".join(one[:keep] + [f"doc b line {i} of {n}" for i in range(n - keep)])))
+            wanted.append(share)
+    pairs.append(("\n".join(f"short {i}" for i in range(24)), "\n".join(f"long {i}" for i in range(1581))))
+    wanted.append(0.0)
+    values = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(
+        multiset.likeness(multiset.fingerprint(F.col("a")), multiset.fingerprint(F.col("b")))).collect()]
+    assert all(abs(v - share) < 0.3 * (1 - share) for v, share in zip(values, wanted, strict=True)), values
