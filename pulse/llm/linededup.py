@@ -14,8 +14,12 @@ an earlier place. First occurrences and single shared lines stay. No list of
 places is ever gathered for a fingerprint: the first place is an aggregate, and
 every other place is joined to it alone.
 
-Null texts stay null; empty texts, texts of blank lines and texts with fewer
-than RUN lines stay as they are; blank lines are never deleted. Rows with equal
+With ``long_words`` (the pipeline: ``LONG``) a single line or two lines in a row that
+have more words than that are windows too, each its own fingerprint, and go if they
+stand at an earlier place. The query has the plain rule, which its check SQL fixes.
+
+Null texts stay null; empty texts, texts of blank lines and, without ``long_words``,
+texts with fewer than RUN lines stay as they are; blank lines are never deleted. Rows with equal
 doc_id and text are one document and are cut alike. A null doc_id comes first.
 """
 
@@ -27,13 +31,15 @@ from pyspark.sql import functions as F
 from pulse.llm.common import replaced_text, staged
 
 RUN = 3
+#: A repeated passage of more words than these goes in the pipeline, however few lines it fills.
+LONG = 50
 
 
 def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
-def _windows(docs: DataFrame, run: int) -> DataFrame:
+def _windows(docs: DataFrame, run: int, long_words: int | None = None) -> DataFrame:
     """One row for each window: its document, first line, fingerprint and content hash."""
     lines = F.filter(
         F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("i"), line.alias("line"))),
@@ -41,31 +47,43 @@ def _windows(docs: DataFrame, run: int) -> DataFrame:
     hashed = (
         docs.where(F.length("text") > 0)
         .select("doc_id", text_key().alias("key"), lines.alias("lines"))
-        .where(F.size("lines") >= run)
+        .where(F.size("lines") >= (run if long_words is None else 1))
         .withColumn("h", F.transform("lines", lambda x: F.xxhash64(x["line"])))
     )
 
-    def window(i: Column) -> Column:
-        here = F.slice("h", i + 1, run)
-        texts = F.transform(F.slice("lines", i + 1, run), lambda x: x["line"])
-        mark = F.array_min(here)
-        return F.struct(
-            i.alias("pos"), mark.alias("mark"),
-            (i + run - F.array_position(F.reverse(here), mark)).alias("selected"),
-            F.xxhash64(texts).alias("w1"), F.xxhash64(F.lit("second"), texts).alias("w2"),
-            F.transform(F.slice("lines", i + 1, run), lambda x: x["i"]).alias("at"))
-
-    found = hashed.select("doc_id", "key", F.transform(
-        F.sequence(F.lit(0), F.size("lines") - run), window).alias("w"))
-    return found.select("doc_id", "key", F.explode(F.transform("w", lambda x, i: F.struct(
+    def windows(size: int) -> Column:
+        def window(i: Column) -> Column:
+            here = F.slice("h", i + 1, size)
+            texts = F.transform(F.slice("lines", i + 1, size), lambda x: x["line"])
+            mark = F.array_min(here)
+            return F.struct(
+                i.alias("pos"), (mark if size == run else F.xxhash64(texts)).alias("mark"),
+                (i + size - F.array_position(F.reverse(here), mark)).alias("selected"),
+                F.xxhash64(texts).alias("w1"), F.xxhash64(F.lit("second"), texts).alias("w2"),
+                F.transform(F.slice("lines", i + 1, size), lambda x: x["i"]).alias("at"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - size, F.lit(0))),
+                                    lambda i: i + size <= F.size("lines")), window)
+
+    found = hashed.select("doc_id", "key", windows(run).alias("w"))
+    marked = found.select("doc_id", "key", F.explode(F.transform("w", lambda x, i: F.struct(
         x.alias("x"),
         ((i == 0) | (F.get("w", i - 1)["selected"] != x["selected"])).alias("fresh")))).alias("y")
     ).select("doc_id", "key", "y.x.*", "y.fresh")
-
-
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+    if long_words is None:
+        return marked
+    counted = hashed.withColumn("words", F.transform(
+        "lines", lambda x: F.size(F.filter(F.split(x["line"], r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))))
+    for size in range(1, run):
+        long = counted.select("doc_id", "key", F.explode(windows(size)).alias("x"), "words").where(
+            F.aggregate(F.slice("words", F.col("x.pos") + 1, size), F.lit(0), lambda n, w: n + w) > long_words)
+        marked = marked.union(long.select("doc_id", "key", "x.*", F.lit(True)))
+    return marked
+
+
+def repeated_lines(docs: DataFrame, run: int = RUN, long_words: int | None = None) -> DataFrame:
     """(doc_id, key, cut): the line numbers to delete, for each document that has some."""
-    windows = staged(_windows(docs, run), "line-windows")
+    windows = staged(_windows(docs, run, long_words), "line-windows")
     # Repeated fingerprints and contents are staged, so that the joins deal both sides anew and can split hot ones.
     marks = staged(windows.where("fresh").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"),
                    "line-marks")
@@ -77,9 +95,9 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     return later.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("cut"))
 
 
-def _cut_text(docs: DataFrame, run: int) -> DataFrame:
+def _cut_text(docs: DataFrame, run: int, long_words: int | None = None) -> DataFrame:
     """docs with columns __kept (text or null) and __cut (line numbers or null)."""
-    cuts = repeated_lines(docs, run).select(
+    cuts = repeated_lines(docs, run, long_words).select(
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cut").alias("__cut"))
     joined = docs.join(
         cuts, docs["doc_id"].eqNullSafe(cuts["__id"]) & (F.xxhash64(docs["text"]) == cuts["__key"]), "left")
@@ -90,9 +108,9 @@ def _cut_text(docs: DataFrame, run: int) -> DataFrame:
         F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")))
 
 
-def without_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, run: int = RUN, long_words: int | None = None) -> DataFrame:
     """The documents without the later occurrences of repeated runs of lines."""
-    return replaced_text(_cut_text(docs, run), F.col("__kept")).select(*docs.columns)
+    return replaced_text(_cut_text(docs, run, long_words), F.col("__kept")).select(*docs.columns)
 
 
 def line_dedup_query(docs: DataFrame) -> DataFrame:

@@ -43,3 +43,17 @@ def test_later_runs_go_and_first_ones_stay(make_docs):
     run = "a b\nc d\ne f"
     got = linededup.without_repeated_lines(make_docs([(1, f"x\n{run}\ny"), (2, f"{run}\nz"), (3, "a b\nc d")]))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: f"x\n{run}\ny", 2: "z", 3: "a b\nc d"}
+
+
+def test_long_passages_go_from_the_pipeline_however_few_lines_they_fill(spark, make_docs):
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(51))
+    half = [" ".join(f"{side}{i}" for i in range(26)) for side in "ab"]
+    fifty = " ".join(f"few{i}" for i in range(50))
+    two = "\n".join(half)
+    rows = [(1, long), (2, f"x\n{long}"), (3, f"{two}\n\ny"), (4, f"z\n{half[0]}\n\n{half[1]}"), (5, half[0]),
+            (6, fifty), (7, fifty), (8, f"{long}\n{long}\nq r"), (None, "x"), (9, None), (10, "")]
+    got = corpus_pipeline.line_dedup_stage(spark, make_docs(rows), "")
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {
+        1: long, 2: "x", 3: f"{two}\n\ny", 4: "z\n", 5: half[0], 6: fifty, 7: fifty, 8: "q r", None: "x", 9: None, 10: ""}
