@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import bpe, linededup, multiset, packing, privacy, quality, secrets, simhash, substring, toxicity
+from pulse.llm import (
+    audit, bpe, linededup, multiset, packing, periodic, privacy, quality, secrets, simhash, substring, toxicity, urlfilter)
 from pulse.llm.common import read
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +54,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_query(read(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_query(read(spark, sf_dir))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_query(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_substring_dedup, op4_privacy, op5_toxicity,
     op6_multiset_hash, op7_line_dedup, op8_secrets, op9_bpe, op10_packing,
+    op11_filter_audit, op12_periodic_runs, op13_url_filter,
 )}
 #: The other operators have no SQL form; tests compare them with brute force.
-SQL: dict[str, str] = {"op7_line_dedup": linededup.LINE_DEDUP_SQL}
+SQL: dict[str, str] = {
+    "op7_line_dedup": linededup.LINE_DEDUP_SQL, "op11_filter_audit": audit.AUDIT_SQL, "op13_url_filter": urlfilter.URL_SQL}
