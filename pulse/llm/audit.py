@@ -174,8 +174,8 @@ orders AS (
     FROM orders, (SELECT unnest(range(1, 6)) AS step)
 ), judged AS (
     SELECT *, element_at(fails, f)[1] AS here,
-        len(list_filter(earlier, x -> x <> '' AND element_at(fails, x)[1])) > 0 AS gone,
-        len(list_filter(map_values(fails), x -> x)) = 1 AS alone
+        len(list_filter(earlier, lambda x: x <> '' AND element_at(fails, x)[1])) > 0 AS gone,
+        len(list_filter(map_values(fails), lambda x: x)) = 1 AS alone
     FROM sets, steps
 ), counted AS (
     SELECT part, filter_order, step, f,
