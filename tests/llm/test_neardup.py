@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pulse.llm import neardup, simhash
 
 
@@ -69,3 +71,66 @@ def test_rows_without_an_id_and_shared_ids_are_judged_by_their_texts(make_docs):
     assert sorted(((i or 0, t) for i, t in got if t)) == [
         (0, "another text without an id"), (0, "one text without an id"),
         (3, "first text of a shared id"), (3, "second text of a shared id")]
+
+
+def crowded(n, seed=8):
+    """Texts that share a passage of a third of their words, and twelve near copies of some of them."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        rows.append(words[:60] + passage + words[60:])
+    for k in range(12):
+        copy = list(rows[k])
+        for i in rng.sample(range(180), 2):
+            copy[i] = f"new{rng.randrange(10**6)}"
+        rows.append(copy)
+    rng.shuffle(rows)
+    return [(i, " ".join(words)) for i, words in enumerate(rows, 1)]
+
+
+def written_pairs(monkeypatch):
+    """Number of rows that each step of the stage stages, by name."""
+    counts = {}
+    real = neardup.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    return counts
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_a_common_passage_makes_no_pairs_of_all_its_texts(make_docs, monkeypatch, n):
+    rows = crowded(n)
+    counts = written_pairs(monkeypatch)
+    kept = {r["doc_id"] for r in simhash.one_of_each_group(make_docs(rows)).collect()}
+    assert len(kept) == n
+    # A few pairs a member, for the buckets it is in; not one for each two of them.
+    assert sum(counts["near-pairs"]) < 8 * n
+    assert counts["near-pairs"][-1] < n
+
+
+def near_cluster(n, edits, seed=9):
+    """Copies of one text, each with its own edits: alike to the text, hardly to each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for _ in range(n):
+        copy = list(base)
+        for i in rng.sample(range(150), rng.choice(edits)):
+            copy[i] = f"new{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    return list(enumerate(rows, 1))
+
+
+@pytest.mark.parametrize("edits", [(2, 3, 4), (3, 5, 8), (1, 12)])
+def test_large_groups_of_near_copies_equal_brute_force(make_docs, edits):
+    rows = near_cluster(200, edits)
+    group = brute_groups(rows)
+    got = sorted(r["doc_id"] for r in simhash.one_of_each_group(make_docs(rows)).collect())
+    assert got == sorted({rows[g][0] for g in group})
