@@ -6,8 +6,8 @@ the sum of its paragraphs' vectors, lane by lane, modulo a power of two. The sum
 does not depend on the order of paragraphs, and a paragraph is inserted or
 deleted by adding or subtracting its vector (``combined``).
 
-Lanes: a counter of paragraphs (mod 2^32); ``DENSE`` lanes that every paragraph
-fills with 32 random bits (mod 2^32), so that different multisets differ; and
+Lanes: a counter of paragraphs (mod 2^48); ``DENSE`` lanes that every paragraph
+fills with 48 random bits (mod 2^48), so that different multisets differ; and
 ``LEVELS`` times ``SPARSE`` lanes (mod 2^16), of which a paragraph touches a single
 one with a random non-zero value. Its level is l with probability 3/4^(l + 1) (the last
 level takes what is left), by its hash. In the difference of two fingerprints a sparse
@@ -19,6 +19,8 @@ level that is not full on, the sum divided by the share 1/4^l of paragraphs ther
 d for the whole text, with the likeness 1 - d / (paragraphs of both): the share of common
 paragraphs. Twelve levels are not full below a thousand million differing paragraphs,
 more than a text can hold; the estimate of d is good to some 10 to 15 % at any size.
+Sparse lanes are kept as the sorted list of those that are not zero, at most one for
+each paragraph.
 
 Null and empty texts have no paragraphs and the zero fingerprint; two of them
 are wholly alike. Next documents follow descending doc_id, after the last the
@@ -29,16 +31,25 @@ as often as it occurs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.llm.common import staged
 
-DENSE, SPARSE, LEVELS = 8, 128, 12
+DENSE, SPARSE, LEVELS = 4, 128, 12
 #: Zero lanes that a level needs to be read.
 OPEN = 14
-_WIDE, _NARROW = 0xFFFFFFFF, 0xFFFF
-PARAGRAPH_END = r"\n|(?<=[.!?])\x20+"
+_WIDE, _NARROW = (1 << 48) - 1, (1 << 16) - 1
+#: An entry is a lane's number times _LANE and a sum of values; the sum has room for 2^24 values.
+_SUM_BITS = 40
+_LANE = 1 << _SUM_BITS
+#: What stays of an entry: the sign, the lane and the sum modulo 2^16.
+_KEPT = -_LANE | _NARROW
+_LEVEL_BITS = (1 << 2 * (LEVELS - 1)) - 1
+#: The first space after a sentence end, with those that follow, or a line break.
+PARAGRAPH_END = r"\x20(?<=[.!?]\x20)\x20*|\n"
 
 
 def paragraphs(text: Column) -> Column:
@@ -46,57 +57,78 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, PARAGRAPH_END, -1), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _vector(paragraph: Column) -> Column:
-    """(dense lanes, level and number of the sparse lane, its value) of one paragraph."""
-    hashes = [F.xxhash64(F.lit(i), paragraph) for i in range(DENSE // 2)]
-    dense = [half for h in hashes for half in (h.bitwiseAND(_WIDE), F.shiftrightunsigned(h, 32))]
-    place = F.xxhash64(F.lit("lane"), paragraph)
-    # Pairs of zero bits at the end of a hash: each further pair is four times as rare.
-    low = F.xxhash64(F.lit("level"), paragraph).bitwiseAND((1 << 2 * (LEVELS - 1)) - 1)
-    zeros = F.bit_count((low.bitwiseAND(-low)) - 1).cast("int")
-    return F.struct(
-        F.array(*dense).alias("dense"),
-        F.when(low == 0, LEVELS - 1).otherwise(F.shiftright(zeros, 1)).alias("level"),
-        F.pmod(place, F.lit(SPARSE)).cast("int").alias("lane"),
-        (F.pmod(F.shiftrightunsigned(place, 32), F.lit(_NARROW)) + 1).alias("value"))
+    """Dense lanes d0, d1, ... and the entry (number of the sparse lane, value) of one paragraph."""
+    dense = [F.shiftrightunsigned(F.xxhash64(F.lit(i), paragraph), 16) for i in range(DENSE)]
+
+    def entry(h: Column) -> Column:
+        # Pairs of zero bits at the end of a hash: each further pair is four times as rare.
+        low = h.bitwiseAND(_LEVEL_BITS)
+        zeros = F.bit_count(low.bitwiseAND(-low) - 1).cast("int")
+        level = F.when(low == 0, LEVELS - 1).otherwise(F.shiftright(zeros, 1))
+        lane = F.shiftrightunsigned(h, 2 * (LEVELS - 1)).bitwiseAND(SPARSE - 1)
+        return (level * SPARSE + lane) * _LANE + F.shiftrightunsigned(h, 32) % _NARROW + 1
+
+    return F.struct(*[d.alias(f"d{i}") for i, d in enumerate(dense)],
+                    _bound(F.xxhash64(F.lit("sparse"), paragraph), entry).alias("entry"))
+
+
+def _added(entries: Column) -> Column:
+    """Entries sorted by lane, those of one lane added, without lanes that are zero."""
+    def add(s: Column, entry: Column) -> Column:
+        same = F.shiftright(entry, _SUM_BITS) == F.shiftright(s["last"], _SUM_BITS)
+        return F.when(same, F.struct(s["done"].alias("done"), (s["last"] + entry.bitwiseAND(_LANE - 1)).alias("last"))).otherwise(
+            F.struct(F.array_append(s["done"], s["last"]).alias("done"), entry.alias("last")))
+
+    zero = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(-1).cast("long").alias("last"))
+    sums = F.aggregate(F.sort_array(entries), zero, add, lambda s: F.array_append(s["done"], s["last"]))
+    return F.filter(
+        F.transform(sums, lambda e: e.bitwiseAND(_KEPT)), lambda e: (e >= 0) & (e.bitwiseAND(_NARROW) != 0))
 
 
 def fingerprint(text: Column) -> Column:
-    """Array of 1 + DENSE + LEVELS * SPARSE longs: counter, dense and sparse lanes."""
-    vectors = F.transform(paragraphs(text), _vector)
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0).cast("long"), DENSE).alias("dense"),
-                    F.array_repeat(F.array_repeat(F.lit(0).cast("long"), SPARSE), LEVELS).alias("sparse"))
+    """Struct of the counter, the dense lanes, and the entries of the sparse lanes that are not zero, sorted."""
+    names = [f"d{i}" for i in range(DENSE)]
+    zero = F.struct(*[F.lit(0).cast("long").alias(d) for d in names])
 
-    def add(state: Column, v: Column) -> Column:
-        return F.struct(
-            (state["n"] + 1).alias("n"),
-            F.zip_with(state["dense"], v["dense"], lambda a, b: (a + b).bitwiseAND(_WIDE)).alias("dense"),
-            F.transform(state["sparse"], lambda level, k: F.when(k == v["level"], F.transform(
-                level, lambda a, i: F.when(i == v["lane"], (a + v["value"]).bitwiseAND(_NARROW)).otherwise(a)))
-                .otherwise(level)).alias("sparse"))
+    def summed(vectors: Column) -> Column:
+        dense = F.aggregate(
+            vectors, zero, lambda s, v: F.struct(*[(s[d] + v[d]).bitwiseAND(_WIDE).alias(d) for d in names]),
+            lambda s: F.array(*[s[d] for d in names]))
+        return F.struct(F.size(vectors).cast("long").alias("n"), dense.alias("dense"),
+                        _added(F.transform(vectors, lambda v: v["entry"])).alias("sparse"))
 
-    return F.aggregate(vectors, zero, add, lambda s: F.concat(
-        F.array(s["n"].bitwiseAND(_WIDE)), s["dense"], F.flatten(s["sparse"])))
+    return _bound(F.transform(paragraphs(text), _vector), summed)
 
 
 def combined(one: Column, other: Column, sign: int = 1) -> Column:
     """Fingerprint of both texts' paragraphs together, or with -1 of one without the other's."""
-    def lane(a: Column, b: Column) -> Column:
-        return a + b if sign > 0 else a - b
-    wide = 1 + DENSE
-    return F.concat(
-        F.zip_with(F.slice(one, 1, wide), F.slice(other, 1, wide), lambda a, b: lane(a, b).bitwiseAND(_WIDE)),
-        F.zip_with(F.slice(one, wide + 1, LEVELS * SPARSE), F.slice(other, wide + 1, LEVELS * SPARSE),
-                   lambda a, b: lane(a, b).bitwiseAND(_NARROW)))
+    def wide(a: Column, b: Column) -> Column:
+        return (a + b if sign > 0 else a - b).bitwiseAND(_WIDE)
+
+    def turned(entry: Column) -> Column:
+        return entry if sign > 0 else entry - 2 * entry.bitwiseAND(_NARROW) + _NARROW + 1
+
+    return F.struct(
+        wide(one["n"], other["n"]).alias("n"), F.zip_with(one["dense"], other["dense"], wide).alias("dense"),
+        _added(F.concat(one["sparse"], F.transform(other["sparse"], turned))).alias("sparse"))
 
 
 def likeness(one: Column, other: Column) -> Column:
     """Estimated share of common paragraphs, from two fingerprints alone."""
-    same = F.zip_with(F.slice(one, 2 + DENSE, LEVELS * SPARSE), F.slice(other, 2 + DENSE, LEVELS * SPARSE),
-                      lambda a, b: (a == b).cast("int"))
-    # A list of one binds the comparison, which is then made once for all levels.
-    zeros = F.get(F.transform(F.array(same), lambda s: F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.aggregate(
-        F.slice(s, k * SPARSE + 1, SPARSE), F.lit(0), lambda n, x: n + x))), 0)
+    def levels_of(entries: Column) -> Column:
+        return F.transform(entries, lambda e: F.shiftright(e, _SUM_BITS))
+
+    differing_lanes = F.array_union(
+        levels_of(F.array_except(one["sparse"], other["sparse"])), levels_of(F.array_except(other["sparse"], one["sparse"])))
+    counted = F.transform(differing_lanes, lambda lane: F.floor(lane / SPARSE).cast("int"))
+    zeros = _bound(counted, lambda c: F.transform(
+        F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: SPARSE - F.size(F.filter(c, lambda level: level == k))))
     # From the last level down: what the levels so far hold, until one is full.
     start = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("d"), F.lit(False).alias("full"))
 
@@ -109,26 +141,18 @@ def likeness(one: Column, other: Column) -> Column:
     levels = F.reverse(F.transform(zeros, lambda z, k: F.named_struct(
         F.lit("zero"), z, F.lit("share"), F.pow(F.lit(4.0), k))))
     differing = F.aggregate(levels, start, lambda s, x: down(s, x["zero"], x["share"]), lambda s: s["d"])
-    both = F.get(one, 0) + F.get(other, 0)
+    both = one["n"] + other["n"]
     estimate = F.greatest(F.lit(0.0), F.lit(1.0) - differing / F.nullif(both, F.lit(0)))
     return F.when(one == other, 1.0).when(both == 0, 1.0).otherwise(estimate)
 
 
-def _trimmed(lanes: Column) -> Column:
-    """The lanes without the zeros at the end, which most texts have at all higher levels."""
-    last = F.array_position(F.transform(F.reverse(lanes), lambda v: v != 0), True)
-    return F.when(last == 0, F.slice(lanes, 1, 0)).otherwise(F.slice(lanes, 1, F.size(lanes) - last.cast("int") + 1))
-
-
-def _filled(lanes: Column) -> Column:
-    return F.concat(lanes, F.array_repeat(F.lit(0).cast("long"), 1 + DENSE + LEVELS * SPARSE - F.size(lanes)))
-
+def fingerprint_text(print_: Column) -> Column:
+    """Hexadecimal form: 12 digits for the counter and each wide lane, 7 for each sparse lane (3) and its value (4)."""
+    def digits(values: Column, width: int) -> Column:
+        return F.array_join(F.transform(values, lambda v: F.lower(F.lpad(F.hex(v), width, F.lit("0")))), "")
 
-def fingerprint_text(lanes: Column) -> Column:
-    """Hexadecimal form: 8 digits for wide lanes, 4 for narrow ones, without zero lanes behind those of the first level."""
-    short = F.slice(lanes, 1, F.greatest(F.size(_trimmed(lanes)), F.lit(1 + DENSE + SPARSE)))
-    return F.array_join(F.transform(short, lambda v, i: F.lower(
-        F.lpad(F.hex(v), F.when(i <= DENSE, 8).otherwise(4), F.lit("0")))), "")
+    short = F.transform(print_["sparse"], lambda e: F.shiftright(e, _SUM_BITS - 16) + e.bitwiseAND(_NARROW))
+    return F.concat(digits(F.concat(F.array(print_["n"]), print_["dense"]), 12), digits(short, 7))
 
 
 def neighbours(unique: DataFrame) -> DataFrame:
@@ -163,24 +187,22 @@ def fingerprint_query(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
-    # Nothing but the text is gathered here: both uses below then share one shuffle of the texts.
-    unique = rows.groupBy("did", "key").agg(F.first("text").alias("text"))
+    # Gathered once with its fingerprint: both uses below share one shuffle of the texts.
+    unique = rows.groupBy("did", "key").agg(F.first(F.struct("text", fingerprint(F.col("text")).alias("lanes"))).alias("t")).select(
+        "did", "key", "t.*")
     links = neighbours(rows.groupBy("doc_id", "did", "key", F.char_length("text").alias("chars")).agg(
         F.count(F.lit(1)).alias("times")))
     # Each text once with the document before it, for which it is the next one.
     heads = unique.join(
-        links.select("did", "key", "previous_did", "previous_key", "previous_chars"), ["did", "key"]
-    ).withColumn("lanes", fingerprint(F.col("text"))).select(
+        links.select("did", "key", "previous_did", "previous_key", "previous_chars"), ["did", "key"]).select(
         F.col("previous_did").alias("did"), F.col("previous_key").alias("key"),
         F.substring(F.col("text"), F.lit(1), F.floor(F.col("previous_chars") / 3).cast("int")).alias("head"),
-        _trimmed(F.col("lanes")).alias("next_lanes"))
+        F.col("lanes").alias("next_lanes"))
     chars = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - F.floor(chars / 3).cast("int")), F.col("head"))
     whole = (
-        unique.join(links.select("did", "key", "doc_id", "times"), ["did", "key"])
-        .withColumn("lanes", fingerprint(F.col("text"))).join(heads, ["did", "key"])
+        unique.join(links.select("did", "key", "doc_id", "times"), ["did", "key"]).join(heads, ["did", "key"])
         .withColumn("edited", edited).withColumn("edited_lanes", fingerprint(F.col("edited")))
-        .withColumn("next_lanes", _filled(F.col("next_lanes")))
     )
     return whole.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"),
