@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,14 @@ from pulse.llm.fmindex import FMIndex
 WINDOW, GRAM = 35, 5
 #: Words of one FM-index, and entries of one minimiser that may share it.
 SHARD_WORDS, HOT_ENTRIES = 1_000_000, 5_000
+#: Words of texts that are cut into segments together.
+CUT_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint64)
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -53,24 +56,59 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def segments_of(words: list[bytes], window: int, gram: int) -> list[tuple[int, int, int, bytes]]:
-    """(first word, number of words, minimiser, 128-bit content hash) of each segment."""
-    if len(words) < window:
-        return []
-    hashes = word_hashes(words)
-    grams = np.zeros(len(words) - gram + 1, np.uint64)
+def _window_minima(values: np.ndarray, n: int) -> np.ndarray:
+    """Place of the smallest of each n values in a row, the first one of equals."""
+    least, place, known = values, np.arange(len(values)), 1
+    while known < n:
+        step = min(known, n - known)
+        later = least[step:] < least[:-step]
+        least, place = np.where(later, least[step:], least[:-step]), np.where(later, place[step:], place[:-step])
+        known += step
+    return place
+
+
+class _Contents:
+    """128-bit hashes of stretches of words: sums of word hashes times powers of two odd numbers."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sides = []
+        for base in _BASES:
+            powers, back = (np.multiply.accumulate(np.concatenate(
+                [np.ones(1, np.uint64), np.full(len(hashes), b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
+            self.sides.append((sums, back))
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Both halves of the hashes of the words [first, last)."""
+        size = (last - first).astype(np.uint64)
+        return [_mixed((sums[last] - sums[first]) * back[first] + size).view(np.int64) for sums, back in self.sides]
+
+
+def segments_of(hashes: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Text, first word in it, number of words, minimiser and content hash (two halves) of each segment.
+
+    ``hashes`` are those of the words of texts of the given lengths behind each other.
+    """
+    stops = np.cumsum(lengths)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    if len(hashes) < window:
+        return tuple(np.empty(0, np.int64) for _ in range(6))
+    grams = np.zeros(len(hashes) - gram + 1, np.uint64)
     for j in range(gram):
         grams = grams * _BASE + hashes[j:len(hashes) - gram + 1 + j]
-    grams = _mixed(grams)
-    inside = window - gram + 1
-    views = np.lib.stride_tricks.sliding_window_view(grams, inside)
-    places = np.concatenate([
-        part.argmin(axis=1) for part in np.array_split(views, max(1, len(views) // 50_000))]) + np.arange(len(views))
-    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-    last = np.concatenate([first[1:], [len(places)]]) - 1 + window
-    marks = grams[places[first]].view(np.int64)
-    return [(a, b - a, m, xxhash.xxh3_128_digest(b" ".join(words[a:b])))
-            for a, b, m in zip(first.tolist(), last.tolist(), marks.tolist(), strict=True)]
+    places = _window_minima(_mixed(grams), window - gram + 1)
+    # Windows that lie in one text, and of these the first with each minimiser.
+    inside = np.flatnonzero(text[:len(places)] == text[window - 1:window - 1 + len(places)])
+    if not len(inside):
+        return tuple(np.empty(0, np.int64) for _ in range(6))
+    places = places[inside]
+    owner = text[inside]
+    first = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (owner[1:] != owner[:-1])]))
+    begin = inside[first]
+    end = inside[np.append(first[1:], len(inside)) - 1] + window
+    owner = owner[first]
+    return (owner, begin - (stops - lengths)[owner], end - begin,
+            _mixed(grams)[places[first]].view(np.int64), *_Contents(hashes).of(begin, end))
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -82,21 +120,24 @@ def _with_key(docs: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    def solved(batch: pa.RecordBatch, begin: int, texts: list[list[bytes]]) -> pa.RecordBatch:
+        words = word_hashes(list(chain.from_iterable(texts)))
+        row, *found = segments_of(words, np.array([len(t) for t in texts]), window, gram)
+        take = pa.array(row + begin, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch["did"].take(take), batch["key"].take(take),
+             *[pa.array(c, t) for c, t in zip(found, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]],
+            ["did", "key", "at", "n", "mark", "c1", "c2"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
+            begin, texts, held = 0, [], 0
             for row, text in enumerate(batch["text"]):
-                got = segments_of(text.as_py().split(), window, gram)
-                rows += [row] * len(got)
-                found += got
-            if found:
-                at, n, mark, content = zip(*found, strict=True)
-                halves = np.frombuffer(b"".join(content), np.int64).reshape(-1, 2)
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    batch["did"].take(take), batch["key"].take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()),
-                    pa.array(mark, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-                    ["did", "key", "at", "n", "mark", "c1", "c2"])
+                texts.append(text.as_py().split())
+                held += len(texts[-1])
+                if held >= CUT_WORDS or row == batch.num_rows - 1:
+                    yield solved(batch, begin, texts)
+                    begin, texts, held = row + 1, [], 0
 
     return docs.select("did", "key", F.col("text").cast("binary").alias("text")).mapInArrow(
         cut, "did string, key long, at int, n int, mark long, c1 long, c2 long")
@@ -136,16 +177,18 @@ def _entry_words(entries: DataFrame, texts: DataFrame) -> DataFrame:
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("mark", "hot", "c1", "c2", "weight", "words")}
-            for packed, entries_here in zip(batch["packed"], batch["wanted"], strict=True):
-                words = word_hashes(zstandard.decompress(packed.as_py()).split())
-                for e in entries_here.as_py():
-                    for c in ("mark", "hot", "c1", "c2", "weight"):
-                        out[c].append(e[c])
-                    out["words"].append(words[e["at"]:e["at"] + e["n"]].tobytes())
-            types = {"mark": pa.int64(), "hot": pa.bool_(), "c1": pa.int64(), "c2": pa.int64(),
-                     "weight": pa.int32(), "words": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in types.items()], list(types))
+            # The entries of all texts of the batch, flat; only their words are hashed.
+            entries = pa.concat_arrays([batch["wanted"].flatten()])
+            owner = np.repeat(np.arange(batch.num_rows), batch["wanted"].value_lengths().to_numpy())
+            first, size = entries.field("at").to_numpy(), entries.field("n").to_numpy()
+            out, text, words = [], -1, []
+            for row, at, n in zip(owner.tolist(), first.tolist(), size.tolist(), strict=True):
+                if row != text:
+                    text, words = row, zstandard.decompress(batch["packed"][row].as_py()).split()
+                out.append(word_hashes(words[at:at + n]).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*[entries.field(c) for c in ("mark", "hot", "c1", "c2", "weight")], pa.array(out, pa.binary())],
+                ["mark", "hot", "c1", "c2", "weight", "words"])
 
     return joined.mapInArrow(
         take, "mark long, hot boolean, c1 long, c2 long, weight int, words binary")
