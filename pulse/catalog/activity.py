@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulse.catalog.base import COMMENTS, POSTS, Tables, post_time, query
-from pulse.operators import activity, quantiles, scaling
+from pulse.operators import activity, quantiles, scaling, sketches
+from pulse.operators.joins import null_safe_join
 from pulse.operators.sampling import stack_tagged
+from pulse.sources.sinks import stage
 
 DAILY = "SELECT CAST(ts AS DATE) AS date, event_type, COUNT(*) AS n FROM events GROUP BY ALL"
 
@@ -126,6 +128,36 @@ def activity_vs_size(t: Tables) -> DataFrame:
     )
 
 
+_GRAINS = """rows AS (SELECT o_orderpriority, o_custkey, CAST(o_orderdate AS DATE) AS date FROM orders),
+grains AS (
+  SELECT 'month' AS grain, o_orderpriority, CAST(date_trunc('month', date) AS DATE) AS start, o_custkey FROM rows
+  UNION ALL SELECT 'year', o_orderpriority, CAST(date_trunc('year', date) AS DATE), o_custkey FROM rows
+  UNION ALL SELECT 'all', o_orderpriority, NULL, o_custkey FROM rows)"""
+
+
+@query("A4 A5 C14", f"""WITH {_GRAINS}
+SELECT grain, o_orderpriority, start, COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS n_exact,
+  TRUE AS same_by_any_way, TRUE AS within_3_percent FROM grains GROUP BY ALL""")
+def customers_by_grain(t: Tables) -> DataFrame:
+    """Different customers by month, year and in all, merged from daily sketches and compared with exact counts."""
+    dated = t.orders.select("o_orderpriority", "o_custkey", F.to_date("o_orderdate").alias("date"))
+    daily = stage(sketches.sketched(dated, ["o_orderpriority", "date"], "o_custkey"), t.scratch("sketches"))
+    by_steps = sketches.distinct_by_grain(daily, "date", "o_orderpriority")
+    starts = F.explode(F.array(
+        F.struct(F.lit("month").alias("grain"), F.trunc("date", "month").alias("start")),
+        F.struct(F.lit("year").alias("grain"), F.trunc("date", "year").alias("start")),
+        F.struct(F.lit("all").alias("grain"), F.lit(None).cast("date").alias("start"))))
+    keys = ["grain", "o_orderpriority", "start"]
+    at_once = sketches.estimated(sketches.merged(daily.select("*", starts.alias("g")).select(
+        "o_orderpriority", "n", "sketch", "g.*"), keys), "at_once").drop("n")
+    exact = dated.select("*", starts.alias("g")).select("o_orderpriority", "o_custkey", "g.*").distinct().groupBy(
+        *keys).agg(F.count("o_custkey").alias("n_exact"))
+    both = null_safe_join(null_safe_join(by_steps, at_once, keys), exact, keys)
+    return both.select(
+        *keys, "n", "n_exact", (F.col("n_different") == F.col("at_once")).alias("same_by_any_way"),
+        (F.abs(F.col("n_different") - F.col("n_exact")) <= F.col("n_exact") * 0.03).alias("within_3_percent"))
+
+
 @query("A4 A5", """SELECT event_type, COUNT(DISTINCT user_id) AS n_authors, COUNT(event_id) AS n_items,
 COUNT(event_id) / COUNT(DISTINCT user_id) AS items_per_author FROM events GROUP BY 1""")
 def items_per_author(t: Tables) -> DataFrame:

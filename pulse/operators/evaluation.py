@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.ml import Model
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.operators.activity import count_by
+from pulse.operators.ranking import summed_before
 from pulse.operators.sampling import stack_tagged
 from pulse.operators.scaling import minmax_scale
 
@@ -53,19 +54,33 @@ def binary_report(predictions: DataFrame, label: str, prediction: str) -> DataFr
     )
 
 
-def area_under_roc(predictions: DataFrame, label: str = "label",
-                   raw: str = "rawPrediction") -> float:
-    return BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol=raw, metricName="areaUnderROC"
-    ).evaluate(predictions)
+def area_under_roc(predictions: DataFrame, label: str, score: Column) -> DataFrame:
+    """Area under the ROC curve of a score (column ``auc``), exact, with ties counted half; NULL with one class only.
+
+    It is the share of pairs of a positive and a negative row in which the positive one
+    scores higher: of each score, all negatives below it and half of those beside it.
+    Scores are counted first and ordered in ranges, so no task sees all of them. Rows
+    without a score are left out; NaN is the highest score.
+    """
+    y = F.col(label).cast("int")
+    scores = predictions.select(score.alias("score"), y.alias("y")).where(
+        F.col("score").isNotNull() & F.col("y").isin(0, 1)).groupBy("score").agg(
+        F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
+    below = summed_before(scores, [F.asc("score")], "no", "below")
+    pairs = F.sum(F.col("yes") * (F.col("below") + F.col("no") / 2))
+    return below.agg(F.try_divide(pairs, F.sum("yes").cast("double") * F.sum("no")).alias("auc"))
+
+
+def positive_score(raw: str = "rawPrediction") -> Column:
+    """A model's score for the positive class."""
+    return vector_to_array(raw)[1]
 
 
 def model_report(predictions: DataFrame, label: str = "label",
                  prediction: str = "prediction") -> DataFrame:
     """:func:`binary_report` with the area under the ROC curve of the raw scores."""
-    return binary_report(predictions, label, prediction).withColumn(
-        "auc", F.lit(area_under_roc(predictions, label))
-    )
+    auc = area_under_roc(predictions, label, positive_score())
+    return binary_report(predictions, label, prediction).withColumn("auc", auc.scalar())
 
 
 def compare_models(reports: Mapping[str, DataFrame]) -> DataFrame:

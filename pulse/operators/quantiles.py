@@ -1,57 +1,32 @@
 """Exact quantiles without gathering a group in one task.
 
 The built-in exact ``percentile`` keeps a map of every distinct value of a group
-in one task. Here the values are first counted into a histogram, the histogram
-is cut into ranges of about equal length, and only the ranges that hold a wanted
-rank are ordered.
+in one task. Here the values are first counted into a histogram. Ranges of it that hold
+a wanted rank are cut, again and again, until they are short enough to be ordered by a
+task; all others are dropped, so each round has a fraction of the rows of the one before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.operators.joins import null_safe_join
+from pulse.session import scratch_path
+from pulse.sources.sinks import stage
 
 ROWS_PER_RANGE = 100_000
-MOST_RANGES, BLOCK = 1024, 32
+#: Parts that a long range is cut into.
+CUTS = 32
 
 
 def _histogram(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """Rows per key and value; NULL is a value here, so that no key is lost."""
-    return df.groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _ranged(hist: DataFrame, rows_per_range: int) -> DataFrame:
-    """Add the number of the value range.
-
-    A histogram of up to ``rows_per_range`` rows is one range; a larger one gets
-    more, up to MOST_RANGES. The cuts only steer the work: any cuts give the same
-    quantiles, good ones give ranges of equal length.
-    """
-    shares = ", ".join(str(i / MOST_RANGES) for i in range(1, MOST_RANGES))
-    step = F.greatest(F.lit(1), F.ceil(F.lit(MOST_RANGES * rows_per_range) / F.col("rows")))
-    # the unused total keeps the counts in this plan, which then shares its shuffle
-    # with the main one instead of scanning the input again
-    cuts = hist.agg(
-        F.expr(f"percentile_approx(value, array({shares}), {10 * MOST_RANGES})").alias("cuts"),
-        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"),
-    ).withColumn("cuts", F.filter("cuts", lambda _, i: (i + 1) % step == 0)).select(F.struct(
-        "cuts", F.filter("cuts", lambda _, i: (i + 1) % BLOCK == 0).alias("coarse"), "total"
-    )).scalar()
-
-    def below(array: Column) -> Column:
-        # never NULL, or the join on it would filter every input row by this expression
-        return F.coalesce(F.size(F.filter(array, lambda cut: cut < F.col("value"))), F.lit(0))
-
-    # two short searches: the block of cuts first, then the cut inside the block
-    return hist.withColumn("cuts", cuts).withColumn("block", below(F.col("cuts.coarse"))).withColumn(
-        "range", F.col("block") * BLOCK + below(
-            F.slice(F.col("cuts.cuts"), F.col("block") * BLOCK + 1, F.lit(BLOCK - 1))
-        )
-    ).drop("cuts", "block")
+    """Rows per key and value, staged; NULL is a value here, so that no key is lost."""
+    counts = df.groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return stage(counts, scratch_path(df.sparkSession, "histogram"))
 
 
 def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
@@ -61,39 +36,75 @@ def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
     return low, F.ceil(place), place - low
 
 
+def _holding(ranges: DataFrame) -> DataFrame:
+    """Ranges that hold a wanted rank, with these ranks only."""
+    first, end = F.col("start"), F.col("start") + F.col("size")
+    return ranges.withColumn("wanted", F.filter("wanted", lambda w: (w["rank"] >= first) & (w["rank"] < end))).filter(
+        F.size("wanted") > 0)
+
+
+def _refined(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Ranges cut at their own quantiles: the rows and the ranges that hold a wanted rank.
+
+    Any cuts give the same quantiles, good ones give ranges of equal length. The least
+    value is always a cut, so a range of several values never stays whole.
+    """
+    spark, on = rows.sparkSession, [*keys, "range"]
+    inside = null_safe_join(rows, ranges.select(*on), on)
+    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = stage(inside.groupBy(*on).agg(F.array_union(
+        F.array(F.min("value")), F.percentile_approx("value", shares, 10 * CUTS)).alias("cuts")),
+        scratch_path(spark, "quantile-cuts"))
+    below = F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
+    # Numbers of all ranges differ, those of later rounds as well.
+    cut = null_safe_join(inside, cuts, on).select(
+        *keys, "value", "n", F.col("range").alias("parent"), (F.col("range") * (CUTS + 2) + below + 1).alias("range"))
+    parents = ranges.select(*keys, F.col("range").alias("parent"), F.col("start").alias("first"), "wanted")
+    # At most CUTS + 1 rows for each range that was cut.
+    before = Window.partitionBy(*keys, "parent").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*on, "parent").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows")).withColumn(
+        "before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    held = stage(_holding(null_safe_join(sizes, parents, [*keys, "parent"]).withColumn(
+        "start", F.col("first") + F.col("before"))).select(*on, "start", "size", "rows", "wanted"),
+        scratch_path(spark, "quantile-ranges"))
+    left = null_safe_join(cut.drop("parent"), held.select(*on), on)
+    return stage(left, scratch_path(spark, "quantile-rows")), held
+
+
 def _from_histogram(hist: DataFrame, probs: Mapping[str, float], keys: Sequence[str],
                     rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Quantiles per key of a (keys, value, n) table; a key with NULLs only has NULL quantiles."""
-    present = hist.select(*keys).distinct()
-    hist = _ranged(hist.filter(F.col("value").isNotNull()), rows_per_range)
-
-    # at most MOST_RANGES rows per key
-    everything = Window.partitionBy(*keys)
-    before = everything.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = hist.groupBy(*keys, "range").agg(F.sum("n").alias("size")).withColumns({
-        "start": F.coalesce(F.sum("size").over(before), F.lit(0)),
-        "total": F.sum("size").over(everything),
-    })
+    """Quantiles per key of a staged (keys, value, n) table; a key with NULLs only has NULL quantiles.
+
+    Values start as one range a key. As long as a range that holds a wanted rank has more
+    than ``rows_per_range`` values it is cut; ranges without a wanted rank are dropped.
+    """
+    spark, on = hist.sparkSession, [*keys, "range"]
     wanted = []
     for name, p in probs.items():
-        low, high, weight = _ranks(F.col("total"), p)
+        low, high, weight = _ranks(F.col("size"), p)
         for side, rank in (("low", low), ("high", high)):
             wanted.append(F.struct(
                 F.lit(name).alias("name"), F.lit(side).alias("side"),
                 rank.cast("long").alias("rank"), weight.cast("double").alias("weight"),
             ))
-    first, end = F.col("start"), F.col("start") + F.col("size")
-    targets = sizes.withColumn("wanted", F.array(*wanted)).withColumn(
-        "wanted", F.filter("wanted", lambda w: (w["rank"] >= first) & (w["rank"] < end))
-    ).filter(F.size("wanted") > 0).select(*keys, "range", "start", "wanted")
-
-    # order only the ranges that hold a wanted rank
-    upto = Window.partitionBy(*keys, "range").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    rows = hist.filter(F.col("value").isNotNull()).withColumn("range", F.lit(1).cast("long"))
+    ranges = stage(rows.groupBy(*on).agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows")).select(
+        *on, F.lit(0).cast("long").alias("start"), "size", "rows", F.array(*wanted).alias("wanted")),
+        scratch_path(spark, "quantile-ranges"))
+    ready = []
+    while True:
+        short = ranges.filter(F.col("rows") <= rows_per_range)
+        ready.append(null_safe_join(rows, short.select(*on, "start", "wanted"), on))
+        ranges = ranges.filter(F.col("rows") > rows_per_range)
+        if ranges.isEmpty():
+            break
+        rows, ranges = _refined(rows, ranges, keys)
+
+    # only short ranges that hold a wanted rank are ordered
+    upto = Window.partitionBy(*on).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     last = F.col("start") + F.col("upto")
     hits = (
-        null_safe_join(hist, targets, [*keys, "range"])
+        reduce(DataFrame.unionByName, ready)
         .withColumn("upto", F.sum("n").over(upto))
         .withColumn("hits", F.filter(
             "wanted", lambda w: (w["rank"] >= last - F.col("n")) & (w["rank"] < last)
@@ -111,7 +122,7 @@ def _from_histogram(hist: DataFrame, probs: Mapping[str, float], keys: Sequence[
         return (low + (high - low) * weight).alias(name)
 
     found = hits.groupBy(*keys).agg(*[quantile(name) for name in probs])
-    return null_safe_join(present, found, keys, "left")
+    return null_safe_join(hist.select(*keys).distinct(), found, keys, "left")
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
@@ -120,7 +131,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float],
     hist = _histogram(df, column, by)
     if by:
         return _from_histogram(hist, probs, list(by), rows_per_range)
-    whole = hist.withColumn("all_rows", F.lit(1))
+    # The key of all rows alike is a column of the table, so that windows are dealt by it.
+    whole = hist.withColumn("all_rows", F.isnotnull("n"))
     return _from_histogram(whole, probs, ["all_rows"], rows_per_range).drop("all_rows")
 
 

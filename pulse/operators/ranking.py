@@ -37,6 +37,17 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return dealt.withColumn(_ENDS, sizes).withColumn(name, before + inside - 1).drop(PART, _ENDS)
 
 
+def summed_before(df: DataFrame, order: Sequence[Column], column: str, name: str) -> DataFrame:
+    """Rows with the sum of a column over all rows before them. ``order`` must leave no ties."""
+    dealt = ranges(df, order)
+    sums = dealt.groupBy(PART).agg(F.sum(column).alias("s")).agg(F.collect_list(F.struct(PART, "s"))).scalar()
+    zero = F.lit(0).cast("double")
+    before = F.aggregate(F.filter(_ENDS, lambda e: e[PART] < F.col(PART)), zero, lambda a, e: a + e["s"])
+    inside = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn(_ENDS, sums).withColumn(
+        name, before + F.coalesce(F.sum(column).over(inside), F.lit(0))).drop(PART, _ENDS)
+
+
 def carried_forward(df: DataFrame, order: Column, columns: Sequence[str]) -> DataFrame:
     """NULLs filled with the last earlier value of each column along the order."""
     dealt = ranges(df, [order])

@@ -5,12 +5,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulse.operators.joins import one_row_per
+from pulse.operators.joins import null_safe_join, one_row_per
 from pulse.operators.ranking import carried_forward, numbered
 
+#: Days of a block, and blocks of an era: one era holds all dates of the years 0 to 9999.
+BLOCK_DAYS, _YEAR_ZERO = 2048, 719_528
+
+
 def _days(bounds: DataFrame) -> DataFrame:
     """Consecutive dates between the columns lo and hi of a one-row frame."""
     return bounds.filter("lo <= hi").select(
@@ -90,6 +94,28 @@ def enrich_by_date(activity: DataFrame, series: DataFrame) -> DataFrame:
     return activity.join(one_row_per(series, ["date"]), ["date"], "left")
 
 
+def _block(date: str) -> Column:
+    return F.floor((F.unix_date(date) + _YEAR_ZERO) / BLOCK_DAYS)
+
+
+def with_next_date(df: DataFrame, name: str, date: str = "date", by: Sequence[str] = ()) -> DataFrame:
+    """Rows (one per key and date) with the next date of their key, NULL for the last one.
+
+    Rows look ahead inside their block of days. The last row of a block takes the first
+    date of the key's next block, found the same way among blocks, of which a key has at
+    most BLOCK_DAYS. So no window is longer than that, whatever the length of a series.
+    """
+    keys = list(by)
+    blocked = df.withColumn("day_block", _block(date))
+    inside = Window.partitionBy(*keys, "day_block").orderBy(date)
+    firsts = blocked.groupBy(*keys, "day_block").agg(F.min(date).alias("first_date"))
+    # An expression of the block, so that blocks without keys are dealt like any others.
+    among = Window.partitionBy(*keys, F.floor(F.col("day_block") / BLOCK_DAYS)).orderBy("day_block")
+    ahead = firsts.select(*keys, "day_block", F.lead("first_date").over(among).alias("block_ahead"))
+    return null_safe_join(blocked.withColumn(name, F.lead(date).over(inside)), ahead, [*keys, "day_block"]).select(
+        *df.columns, F.coalesce(name, "block_ahead").alias(name))
+
+
 def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], date: str = "date",
               by: Sequence[str] = ()) -> DataFrame:
     """Each left row with the last right values on or before its date.
@@ -100,20 +126,16 @@ def asof_join(left: DataFrame, right: DataFrame, values: Sequence[str], date: st
     needs equi-joins only and is never ordered.
     """
     keys = list(by)
-    known = one_row_per(right, [*keys, date])
-    dates = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(date, *values))).alias("known"))
-    current = dates.select(*keys, F.posexplode("known").alias("place", "now"), F.col("known")).select(
-        *keys, "now", F.get("known", F.col("place") + 1)[date].alias("following"))
-    until = F.coalesce(F.date_sub("following", 1), F.col("now")[date])
-    stretched = current.select(
-        *keys, F.explode(F.sequence(F.col("now")[date], until, F.expr("interval 1 day"))).alias(date),
-        *[F.col("now")[v].alias(v) for v in values])
-    latest = F.struct(F.max(date).alias("last_day"), *[F.max_by(v, date).alias(v) for v in values])
-    joined = left.join(stretched, [*keys, date], "left")
-    if keys:
-        joined = joined.join(known.groupBy(*keys).agg(latest.alias("latest")), keys, "left")
-    else:
-        joined = joined.withColumn("latest", known.agg(latest.alias("latest")).scalar())
+    known = with_next_date(one_row_per(right, [*keys, date]).select(*keys, date, *values), "following", date, keys)
+    until = F.coalesce(F.date_sub("following", 1), F.col(date))
+    stretched = known.select(
+        *keys, F.explode(F.sequence(F.col(date), until, F.expr("interval 1 day"))).alias(date), *values)
+    # One era holds all dates: without keys the latest values are a single row.
+    era = F.floor(_block(date) / BLOCK_DAYS)
+    latest = known.withColumn("era", era).where(F.col("following").isNull()).select(
+        *keys, "era", F.struct(F.col(date).alias("last_day"), *values).alias("latest"))
+    joined = left.join(stretched, [*keys, date], "left").withColumn("era", era).join(
+        latest if keys else F.broadcast(latest), [*keys, "era"], "left")
     return joined.withColumns({
         v: F.when(F.col(date) > F.col("latest.last_day"), F.col("latest")[v]).otherwise(F.col(v)) for v in values
     }).select(*left.columns, *values)

@@ -20,7 +20,7 @@ from pulse.functions.values import (
     has_award,
     is_edited,
 )
-from pulse.operators import evaluation, learning
+from pulse.operators import evaluation, learning, tuning
 from pulse.operators.cleaning import computed_once, drop_incomplete, drop_matching, drop_tombstones
 from pulse.operators.sampling import balance, hash_split
 from pulse.operators.sentiment import sentiment_class
@@ -96,24 +96,27 @@ def deleted_set(comments: DataFrame, in_period: Column, frequent_words: Sequence
 
 def _settings(kind: str) -> dict:
     """Settings each published model keeps."""
-    return {"svm_text": {"maxIter": 30}, "forest_deleted": {"numTrees": 50}}.get(kind, {})
+    return {"forest_deleted": {"numTrees": 50}}.get(kind, {})
 
 
-def tuned_award_model(train: DataFrame, kind: str, grid: Mapping[str, Sequence] | None = None,
-                      folds: int = learning.FOLDS, parallelism: int = 4,
-                      leak_free: bool = True) -> PipelineModel:
-    """A cross-validated classifier for "gilded" from row features or from text."""
+def award_search(train: DataFrame, kind: str, grid: Mapping[str, Sequence] | None = None,
+                 folds: int = learning.FOLDS, parallelism: int = 8, leak_free: bool = True) -> tuning.Search:
+    """All settings of a grid tried for "gilded", from row features or from text; the published grid by default."""
     from_text = kind in ("svm", "text_forest")
     stages = (
         learning.text_stages("clean_text") if from_text
         else learning.feature_stages(AWARD_CATEGORIES, AWARD_ENCODED, AWARD_NUMBERS)
     )
-    params = _settings("svm_text") if kind == "svm" else {}
-    return learning.cross_validate(
-        train, stages, learning.classifier(kind, **params), grid or learning.GRIDS[kind],
-        learning.label_indexer(train, "gilded_or_not"), folds, parallelism, leak_free=leak_free,
-        key="id",
-    )
+    return tuning.search(
+        train, stages, kind, grid or learning.GRIDS[kind], learning.label_indexer(train, "gilded_or_not"),
+        "id", folds, parallelism, leak_free=leak_free)
+
+
+def tuned_award_model(train: DataFrame, kind: str, grid: Mapping[str, Sequence] | None = None,
+                      folds: int = learning.FOLDS, parallelism: int = 8,
+                      leak_free: bool = True) -> PipelineModel:
+    """The refitted best model of :func:`award_search`."""
+    return award_search(train, kind, grid, folds, parallelism, leak_free).model
 
 
 def deleted_models(train: DataFrame, kinds: Sequence[str] = ("forest", "svm", "boosted")
