@@ -21,9 +21,9 @@ from dataclasses import dataclass
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+from py4j.java_gateway import JavaObject
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -68,25 +68,23 @@ def _groups(kind: str, grid: Mapping[str, Sequence]) -> list[tuple[dict, list]]:
     return [(setting, list(grid.get(shared, []))) for setting in settings_of(own)]
 
 
-def first_trees(forest: RandomForestClassificationModel, n: int) -> RandomForestClassificationModel:
-    """The forest of the first n trees of a fitted one."""
-    fitted, context = forest._java_obj, SparkContext._active_spark_context
-    models = context._jvm.org.apache.spark.ml.classification
-    trees = fitted.trees()
-    kept = context._gateway.new_array(models.DecisionTreeClassificationModel, n)
-    for i in range(n):
-        kept[i] = trees[i]
-    return RandomForestClassificationModel(models.RandomForestClassificationModel(
-        f"{fitted.uid()}_{n}", kept, fitted.numFeatures(), fitted.numClasses()))
+def with_first_trees(rows: DataFrame, forest: JavaObject, counts: Sequence[int]) -> DataFrame:
+    """Rows with the prediction of a fitted forest's first trees, for each wanted number of them (p0, p1, ...).
 
-
-def _predicted(held_out: DataFrame, forest: RandomForestClassificationModel, counts: Sequence[int]) -> DataFrame:
-    """Held-out rows with the prediction of the first trees, for each wanted number of them (p0, p1, ...)."""
+    The forest stays a JVM object: a Python model would wrap every one of its trees.
+    """
+    context = SparkContext._active_spark_context
+    models, jvm_rows = context._jvm.org.apache.spark.ml.classification, rows._jdf
     for i, n in enumerate(counts):
-        part = first_trees(forest, n)
-        part.setFeaturesCol(FEATURES).setRawPredictionCol("").setProbabilityCol("").setPredictionCol(f"p{i}")
-        held_out = part.transform(held_out)
-    return held_out
+        trees = context._gateway.new_array(models.DecisionTreeClassificationModel, n)
+        context._jvm.java.lang.System.arraycopy(forest.trees(), 0, trees, 0, n)
+        part = models.RandomForestClassificationModel(f"{forest.uid()}_{n}", trees, forest.numFeatures(), forest.numClasses())
+        part.setFeaturesCol(FEATURES)
+        part.setRawPredictionCol("")
+        part.setProbabilityCol("")
+        part.setPredictionCol(f"p{i}")
+        jvm_rows = part.transform(jvm_rows)
+    return DataFrame(jvm_rows, rows.sparkSession)
 
 
 def _judged(train: DataFrame, held_out: DataFrame, kind: str, setting: Mapping, values: Sequence,
@@ -94,8 +92,8 @@ def _judged(train: DataFrame, held_out: DataFrame, kind: str, setting: Mapping,
     """Accuracy of every setting that one group of fits serves, from one pass over the held-out rows."""
     shared = SHARED.get(kind)
     if values and shared == "numTrees":
-        forest = learning.classifier(kind, seed, numTrees=max(values), **setting).fit(train)
-        rows = _predicted(held_out, forest, values)
+        forest = learning.classifier(kind, seed, numTrees=max(values), **setting)._fit_java(train)
+        rows = with_first_trees(held_out, forest, values)
         predictions = [F.col(f"p{i}") for i in range(len(values))]
     else:
         model = learning.classifier(kind, seed, **setting).fit(train)
