@@ -11,7 +11,7 @@ from pulse.catalog.base import COMMENTS, POSTS, Tables, post_time, query
 from pulse.operators import activity, quantiles, scaling, sketches
 from pulse.operators.joins import null_safe_join
 from pulse.operators.sampling import stack_tagged
-from pulse.sources.sinks import stage
+from pulse.sources.sinks import bucketed_stage, stage
 
 DAILY = "SELECT CAST(ts AS DATE) AS date, event_type, COUNT(*) AS n FROM events GROUP BY ALL"
 
@@ -119,6 +119,26 @@ def rows_of_large_groups(t: Tables) -> DataFrame:
     )
 
 
+@query("J9 S2", """SELECT event_id, user_id FROM events WHERE user_id IN (
+SELECT user_id FROM events GROUP BY 1 HAVING COUNT(*) > 66)""")
+def bucketed_large_groups(t: Tables) -> DataFrame:
+    """The same from a stage dealt by user: neither the counts nor the join shuffle."""
+    events = bucketed_stage(t.events.select("event_id", "user_id"), t.scratch("events"), ["user_id"], 8)
+    large = activity.larger_than(activity.count_by(events, ["user_id"]), 66).select("user_id")
+    return events.join(large, ["user_id"], "left_semi").select("event_id", "user_id")
+
+
+@query("J1 J4 S2", """SELECT date, n_items, n_orders FROM
+(SELECT CAST(l_shipdate AS DATE) AS date, COUNT(*) AS n_items FROM lineitem GROUP BY 1)
+FULL JOIN (SELECT CAST(o_orderdate AS DATE) AS date, COUNT(*) AS n_orders FROM orders GROUP BY 1) USING (date)""")
+def bucketed_daily(t: Tables) -> DataFrame:
+    """Daily counts of two stages dealt by date, side by side, without a shuffle."""
+    items = bucketed_stage(t.lineitem.select(F.to_date("l_shipdate").alias("date")), t.scratch("items"), ["date"], 8)
+    orders = bucketed_stage(t.orders.select(F.to_date("o_orderdate").alias("date")), t.scratch("orders"), ["date"], 8)
+    return activity.count_by(items, ["date"], "n_items").join(
+        activity.count_by(orders, ["date"], "n_orders"), ["date"], "full_outer")
+
+
 @query("C14 A4 A5 A15 O1", """SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS n_authors,
 COUNT(o_orderkey) AS n_items, COUNT(o_orderkey) / COUNT(DISTINCT o_custkey) AS items_per_author
 FROM orders GROUP BY 1 HAVING COUNT(DISTINCT o_custkey) > 10 AND COUNT(o_orderkey) > 1000""")

@@ -224,10 +224,18 @@ def award_rows(t: Tables) -> DataFrame:
     return stage(rows.hint("rebalance"), t.scratch("award"))
 
 
+#: Searches of this session by application, folder and model: queries on the same tables share them.
+_SEARCHES: dict[tuple[str, str, str], tuning.Search] = {}
+
+
 def _searched(t: Tables, kinds: tuple[str, ...]) -> tuple[dict[str, tuning.Search], DataFrame]:
     """The published grids searched whole, and the test rows."""
     train, test = sampling.hash_split(award_rows(t), [0.8, 0.2], "id", SEED)
-    return {k: training.award_search(train, k) for k in kinds}, test
+    keys = {k: (t.spark.sparkContext.applicationId, t.folder, k) for k in kinds}
+    for kind, key in keys.items():
+        if key not in _SEARCHES:
+            _SEARCHES[key] = training.award_search(train, kind)
+    return {k: _SEARCHES[key] for k, key in keys.items()}, test
 
 
 def _compared(t: Tables, kinds: tuple[str, ...]) -> DataFrame:

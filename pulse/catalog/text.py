@@ -220,15 +220,15 @@ df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY 1)
 SELECT id, term AS word, CAST(tf AS DOUBLE) AS tf,
   round(tf * ln(((SELECT COUNT(*) FROM posts) + 1) / (df + 1)), 6) AS weight FROM tf JOIN df USING (term)""")
 def vectorised_terms(t: Tables) -> DataFrame:
-    """The same weights in indexed form, decoded with the index table they were made with.
+    """The same weights over a numbered vocabulary: one join brings the index and the weight of each term.
 
     The vocabulary is a table that Spark numbers; it never passes the driver and has no bound.
     """
     counts = terms.term_counts(t.posts, "id", words.clean_tokens(F.col("body")))
     vocabulary = stage(terms.vocabulary(terms.inverse_frequency(counts, t.posts)), t.scratch("vocabulary"))
-    cells = terms.encode_terms(counts, vocabulary, "index").select("id", "index", "tf")
-    return terms.decode_index(cells, "index", vocabulary).select(
-        "id", "word", F.col("tf").cast("double").alias("tf"),
+    cells = terms.encode_terms(counts, vocabulary, "index", keep=["idf"])
+    return cells.select(
+        "id", F.col("term").alias("word"), F.col("tf").cast("double").alias("tf"),
         F.round(F.col("tf") * F.col("idf"), 6).alias("weight"),
     )
 
@@ -266,7 +266,7 @@ def lemma_totals(t: Tables) -> DataFrame:
 @query("T4 T6", f"""WITH {CLEAN} SELECT id, md5(array_to_string(list_transform(w, lambda x: CASE
   {' '.join(f"WHEN x = '{a}' THEN '{b}'" for a, b in LEMMAS)} ELSE x END), ' ')) AS digest FROM clean""")
 def lemmatised_text(t: Tables) -> DataFrame:
-    """The dictionary as a table: one scan of the texts, whatever its size."""
+    """The dictionary as a table of any size: texts are read once, and their tokens staged."""
     lemmas = local_lookup(t.spark, LEMMAS, struct_of(token=TEXT, lemma=TEXT))
     rows = t.posts.select("id", words.clean_tokens(F.col("body")).alias("w"))
     return terms.lemmatise(rows, "id", "w", lemmas).select(

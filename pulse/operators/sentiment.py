@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulse.operators.terms import numbered_tokens
+from pulse.operators.terms import looked_up
 
 # A small general lexicon; pass your own for real work.
 POSITIVE = (
@@ -41,10 +41,8 @@ def sentiment_class(tokens: Column, positive: Sequence[str] = POSITIVE,
 
 def sentiment_from_table(df: DataFrame, doc: str, tokens: str, lexicon: DataFrame) -> DataFrame:
     """Class from a lexicon table (term, weight), for lexicons too large for a list."""
-    rows = numbered_tokens(df, doc, tokens)
-    scores = rows.join(lexicon, ["term"]).groupBy(doc).agg(
-        F.sum("weight").alias("score")
-    )
-    return df.join(scores, [doc], "left").withColumn(
-        "sentiment_class", _class(F.size(tokens), F.coalesce("score", F.lit(0)))
-    ).drop("score")
+    table = lexicon.groupBy("term").agg(F.sum("weight").alias("value"))
+    found = looked_up(df, doc, tokens, table, "weight_of")
+    score = F.aggregate(tokens, F.lit(0).cast("double"), lambda total, t: total + F.coalesce(
+        F.try_element_at("weight_of", t).cast("double"), F.lit(0.0)))
+    return found.withColumn("sentiment_class", _class(F.size(tokens), score)).drop("weight_of")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pulse.operators.activity import top_n_within
 from pulse.operators.joins import null_safe_join, salted_join
 from pulse.operators.ranking import numbered
+from pulse.session import scratch_path
+from pulse.sources.sinks import stage
 
 HOT_TERMS = 100_000
 
@@ -29,13 +31,6 @@ def token_rows(df: DataFrame, tokens: Column, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def numbered_tokens(df: DataFrame, doc: str, tokens: str) -> DataFrame:
-    """One row per token with its place in the text."""
-    return df.select(doc, F.posexplode_outer(tokens).alias("place", "term")).filter(
-        F.col("place").isNotNull()
-    )
-
-
 def lemmatise_rows(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace each term by its lemma; ``lemmas`` has the columns token and lemma."""
     table = lemmas.select(F.col("token").alias("term"), "lemma")
@@ -44,19 +39,27 @@ def lemmatise_rows(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
     ).drop("lemma")
 
 
+def looked_up(df: DataFrame, doc: str, tokens: str, table: DataFrame, name: str) -> DataFrame:
+    """Rows with a map from those of their tokens that ``table`` (term, value) holds to the values.
+
+    The rows are staged with their tokens, so what made the tokens runs once. Each
+    different token of a text meets the table once, and only hits are brought back.
+    """
+    kept = stage(df, scratch_path(df.sparkSession, "tokens"))
+    hits = kept.select(doc, F.explode(F.array_distinct(tokens)).alias("term")).join(table, ["term"])
+    maps = hits.groupBy(doc).agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias(name))
+    return null_safe_join(kept, maps, [doc], "left")
+
+
 def lemmatise(df: DataFrame, doc: str, tokens: str, lemmas: DataFrame) -> DataFrame:
     """Replace the tokens of an array by their lemmas, order kept, for dictionaries of any size.
 
     A short dictionary needs no join: pass it to :func:`pulse.functions.text.clean_tokens`.
     """
-    rows = numbered_tokens(df, doc, tokens)
-    changed = lemmatise_rows(rows, lemmas)
-    arrays = changed.groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.struct("place", "term"))).alias("ordered")
-    ).select(doc, F.col("ordered.term").alias("lemmas"))
-    return df.join(arrays, [doc], "left").withColumn(
-        tokens, F.coalesce("lemmas", F.expr("cast(array() as array<string>)"))
-    ).drop("lemmas")
+    table = lemmas.select(F.col("token").alias("term"), F.col("lemma").alias("value"))
+    found = looked_up(df, doc, tokens, table, "lemma_of")
+    return found.withColumn(tokens, F.transform(
+        tokens, lambda t: F.coalesce(F.try_element_at("lemma_of", t), t))).drop("lemma_of")
 
 
 def corpus_terms(df: DataFrame, tokens: Column, by: Sequence[str] = (),
@@ -159,9 +162,10 @@ def vocabulary(frequency: DataFrame, index: str = "index", word: str = "word") -
     return numbered(frequency, [F.desc("df"), F.asc("term")], index).withColumnRenamed("term", word)
 
 
-def encode_terms(rows: DataFrame, table: DataFrame, index: str = "index", word: str = "word") -> DataFrame:
-    """Vocabulary indices for the column term, by join."""
-    return rows.join(table.select(F.col(word).alias("term"), index), ["term"])
+def encode_terms(rows: DataFrame, table: DataFrame, index: str = "index", word: str = "word",
+                 keep: Sequence[str] = ()) -> DataFrame:
+    """Vocabulary indices for the column term, and what else of the table is to be kept, by one join."""
+    return rows.join(table.select(F.col(word).alias("term"), index, *keep), ["term"])
 
 
 def decode_index(df: DataFrame, index: str, table: DataFrame) -> DataFrame:
