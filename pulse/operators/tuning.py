@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -124,9 +125,10 @@ def search(df: DataFrame, stages: Sequence, kind: str, grid: Mapping[str, Sequen
         def one(group: tuple[dict, list]) -> list[tuple[dict, float]]:
             return list(_judged(train, held_out, kind, *group, seed))
 
-        # As many groups at a time as threads; a fold is done before the next one is prepared.
+        # As many groups at a time as threads, each with job properties of its own.
+        tasks = [inheritable_thread_target(df.sparkSession)(partial(one, group)) for group in groups]
         with ThreadPool(min(parallelism, len(groups))) as pool:
-            for found in pool.map(inheritable_thread_target(df.sparkSession)(one), groups, chunksize=1):
+            for found in pool.map(lambda task: task(), tasks, chunksize=1):
                 for setting, accuracy in found:
                     scores.setdefault(tuple(sorted(setting.items())), []).append(accuracy)
 
