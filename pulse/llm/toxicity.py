@@ -38,6 +38,8 @@ from pulse.llm.common import staged
 
 SAMPLE = 20_000
 TERMS = 1_000
+#: Rows whose terms are counted together.
+COUNTED_ROWS = 1_000
 LEXICONS = 24
 PRIOR_ROWS = 200
 THRESHOLD = 0.3
