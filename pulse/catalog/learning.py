@@ -243,7 +243,7 @@ def _compared(t: Tables, kinds: tuple[str, ...]) -> DataFrame:
     found, test = _searched(t, kinds)
     sizes = F.create_map(*[F.lit(x) for k, s in found.items() for x in (k, len(s.settings))])
     report = training.model_comparison({k: s.model for k, s in found.items()}, test)
-    return report.withColumn("n_settings", F.get(F.array(sizes), 0)[F.col("model")])
+    return report.withColumn("n_settings", F.element_at(sizes, F.col("model")))
 
 
 @query("C30 M1 M2 M3 M4 M5 M6 M9 M10 M11 E1 E4")
