@@ -4,12 +4,14 @@ A document is the set of its different word shingles (a text with fewer words is
 one shingle). Two documents are near copies if the Jaccard likeness of their sets
 is ``LIKE`` or more, and a group is what near copies reach through each other.
 
-Equal sets are one node. Candidates come from ``BANDS`` independent fingerprints,
-each made of ``ROWS`` minimum hashes of the set: two sets of likeness 0.8 share
+Equal sets are one node. Candidates come first from SimHash: the majority bits of the
+hashes of a set, met by covering tables (``covering``) at two or fewer differing bits. A
+likeness of 0.8 leaves some ten bits, so this alone finds near copies with few edits only.
+The others come from ``BANDS`` independent keys, each made of ``ROWS`` minimum hashes of the set: two sets of likeness 0.8 share
 none of them with probability (1 - 0.8^3)^20, below one in a million. Every
-candidate pair is then compared by the sorted hashes of its shingles, so no link rests on a fingerprint.
+candidate pair of either kind is compared by the sorted hashes of its shingles, so no link rests on a fingerprint.
 
-A bucket is first compared with its smallest member, then with others chosen by a
+A bucket that still lies in several groups is first compared with its smallest member, then with others chosen by a
 hash as long as these find links: a bucket full of near copies of one text costs a few
 pairs for each member, not one for each two of them. Texts of buckets that then still lie in several groups are few
 near copies among texts that have much in common (a shared passage, say). These meet
@@ -35,6 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 from xxhash import xxh3_128_digest, xxh64_digest
 
 from pulse.llm.common import raw, staged
+from pulse.llm.covering import links as covering_links, majority, signed
 from pulse.llm.graph import connected
 
 SHINGLE, BANDS, ROWS, SEED = 5, 20, 3, 42
@@ -68,6 +71,11 @@ def bands(hashes: np.ndarray) -> list[int]:
     return (least.reshape(BANDS, ROWS) * _JOIN).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set, as a signed long."""
+    return signed(majority(hashes.view(np.uint8).reshape(-1, 8)))
+
+
 def alike(one: np.ndarray, other: np.ndarray) -> bool:
     """Whether the Jaccard likeness of two sets is LIKE or more."""
     common = len(np.intersect1d(one, other, assume_unique=True))
@@ -75,13 +83,14 @@ def alike(one: np.ndarray, other: np.ndarray) -> bool:
 
 
 @F.pandas_udf(StructType([
-    StructField("node", BinaryType()), StructField("n", IntegerType()), StructField("bands", ArrayType(LongType()))]))
+    StructField("node", BinaryType()), StructField("n", IntegerType()), StructField("fp", LongType()),
+    StructField("bands", ArrayType(LongType()))]))
 def _sketch(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
         hashes = shingles(t)
-        rows.append((xxh3_128_digest(hashes.tobytes()), len(hashes), bands(hashes)))
-    return pd.DataFrame(rows, columns=["node", "n", "bands"])
+        rows.append((xxh3_128_digest(hashes.tobytes()), len(hashes), fingerprint(hashes), bands(hashes)))
+    return pd.DataFrame(rows, columns=["node", "n", "fp", "bands"])
 
 
 @F.pandas_udf(BinaryType())
@@ -95,10 +104,8 @@ def _alike(one: pd.Series, other: pd.Series) -> pd.Series:
                       for a, b in zip(one, other, strict=True)], dtype=bool)
 
 
-def _rooted(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, n, key, root) of the members of buckets."""
-    if labels is None:
-        return members.withColumn("root", F.col("node"))
     return members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -106,7 +113,24 @@ def _pair(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def _with_representatives(members: DataFrame, labels: DataFrame | None, step: int) -> DataFrame | None:
+def _size_allows(n: str, other: str) -> Column:
+    return F.least(n, other) * LIKE[1] >= F.greatest(n, other) * LIKE[0]
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, that connect nodes of equal and of linked fingerprints, if they may be alike by size.
+
+    The smallest node of a fingerprint stands for it, so a fingerprint of many nodes has one pair for each.
+    """
+    first = staged(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("y")), "near-fingerprints")
+    equal = nodes.join(first, "fp").where(F.col("node") != F.col("y.node")).select("node", "n", "y")
+    linked = covering_links(first.select("fp"))
+    ends = [first.select(F.col("fp").alias(end), F.col("y").alias(f"{end}_y")) for end in ("a", "b")]
+    across = linked.join(ends[0], "a").join(ends[1], "b").select("a_y.node", "a_y.n", F.col("b_y").alias("y"))
+    return equal.union(across).where(_size_allows("n", "y.n")).select(*_pair("node", "y.node")).distinct()
+
+
+def _with_representatives(members: DataFrame, labels: DataFrame, step: int) -> DataFrame | None:
     """Pairs (a, b), a < b, of each member and one of its bucket, if they are not in one group and may be alike by size.
 
     None if every bucket lies in one group.
@@ -119,8 +143,7 @@ def _with_representatives(members: DataFrame, labels: DataFrame | None, step: in
     if mixed_keys.isEmpty():
         return None
     both = rows.join(mixed_keys, "key").where(F.col("root") != F.col("y.root"))
-    least, most = F.least("n", "y.n"), F.greatest("n", "y.n")
-    return both.where(least * LIKE[1] >= most * LIKE[0]).select(*_pair("node", "y.node")).distinct()
+    return both.where(_size_allows("n", "y.n")).select(*_pair("node", "y.node")).distinct()
 
 
 def _size_class(n: Column) -> Column:
@@ -128,7 +151,7 @@ def _size_class(n: Column) -> Column:
         EXACT + F.ceil(F.log(n / EXACT) / F.log(F.lit(STEP)))).cast("int")
 
 
-def _rare_shingles(members: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
+def _rare_shingles(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, n, root, h, at): the rarest shingles of the texts of open buckets, with their places in this order.
 
     Shingles that no other of these texts has come first, and are left out.
@@ -157,7 +180,7 @@ def _rare_shingles(members: DataFrame, labels: DataFrame | None, sets: DataFrame
         "node", "n", "root", F.col("e.h").alias("h"), (F.col("alone") + F.col("at")).alias("at"))
 
 
-def _by_rare_shingles(members: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
+def _by_rare_shingles(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs (a, b), a < b, of different groups of which shingles and sizes allow that they are alike."""
     rare = staged(_rare_shingles(members, labels, sets), "near-rare")
     # Shingles that are rare in texts of several groups; this leaves few rows for the sizes below.
@@ -193,19 +216,27 @@ def groups(docs: DataFrame) -> DataFrame:
     sketch = docs.select("doc_id", F.xxhash64("text").alias("key"), _sketch(raw()).alias("s"))
     prints = staged(sketch.select("doc_id", "key", "s.*"), "near-sets")
     nodes = staged(prints.groupBy("node").agg(
-        F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"),
         F.min(F.struct("doc_id", "key")).alias("place")), "near-nodes")
     tables = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = staged(tables.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "near-keys")
     members = staged(tables.join(shared, "key", "left_semi"), "near-buckets")
+    near = staged(_by_fingerprint(nodes.select("fp", "node", "n")), "near-bits")
     # One text of each node that meets another one.
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
+    meeting = members.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = nodes.join(meeting, "node", "left_semi").select(
         "node", F.col("place.doc_id").alias("id"), F.col("place.key").alias("key"))
     source = docs.select("doc_id", raw())
     sets = staged(source.join(wanted, source["doc_id"].eqNullSafe(wanted["id"]) & (
         F.xxhash64(source["text"].cast("string")) == wanted["key"])).select("node", "text").dropDuplicates(["node"]).select(
         "node", _hashes("text").alias("set")), "near-texts")
-    edges = labels = None
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "other"), "b")
+        return staged(both.where(_alike("one", "other")).select("a", "b"), "near-links")
+
+    edges = compared(near)
+    labels = staged(connected(edges), "near-labels")
     step, useful = 0, True
     while True:
         # Representatives go on as long as they link one in twenty pairs; the rest is met by rare shingles, once.
@@ -213,15 +244,13 @@ def groups(docs: DataFrame) -> DataFrame:
         if found is None:
             break
         pairs = staged(found, "near-pairs")
-        both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "other"), "b")
-        links = staged(both.where(_alike("one", "other")).select("a", "b"), "near-links")
-        edges = links if edges is None else edges.union(links)
+        links = compared(pairs)
+        edges = edges.union(links)
         labels = staged(connected(edges), "near-labels")
         if not useful:
             break
         useful = links.count() * 20 >= pairs.count()
         step += 1
-    known = nodes.select("node", F.col("node").alias("root")) if labels is None else staged(
-        nodes.select("node").join(labels, "node", "left").select(
-            "node", F.coalesce("root", "node").alias("root")), "near-groups")
+    known = staged(nodes.select("node").join(labels, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root")), "near-groups")
     return prints.select("doc_id", "key", "node").join(known, "node").select("doc_id", "key", "root")

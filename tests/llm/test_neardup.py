@@ -134,3 +134,25 @@ def test_large_groups_of_near_copies_equal_brute_force(make_docs, edits):
     group = brute_groups(rows)
     got = sorted(r["doc_id"] for r in simhash.one_of_each_group(make_docs(rows)).collect())
     assert got == sorted({rows[g][0] for g in group})
+
+
+def test_fingerprints_within_two_bits_are_linked_before_any_bucket(make_docs, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        for edits in (0, 1, 1, 2):
+            copy = list(base)
+            for i in rng.sample(range(1500), edits):
+                copy[i] = f"new{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows, 1))
+    prints = [neardup.fingerprint(neardup.shingles(t.encode())) for _, t in rows]
+    within = sum(((prints[k] ^ prints[i]) & (1 << 64) - 1).bit_count() <= 2 for i in range(48) for k in range(i) if k // 4 == i // 4)
+    assert within > 12
+    counts = written_pairs(monkeypatch)
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each_group(make_docs(rows)).collect())
+    assert kept == list(range(1, 49, 4))
+    # SimHash has connected what is within two bits; buckets bring the rest.
+    assert counts["near-bits"][0] >= 12 and counts["near-links"][0] == counts["near-bits"][0]
+    assert sum(counts["near-links"]) <= 48
