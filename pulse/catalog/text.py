@@ -224,7 +224,7 @@ def vectorised_terms(t: Tables) -> DataFrame:
 
     The vocabulary is a table that Spark numbers; it never passes the driver and has no bound.
     """
-    counts = terms.term_counts(t.posts, "id", words.clean_tokens(F.col("body")))
+    counts = terms.staged_counts(t.posts, "id", words.clean_tokens(F.col("body")))
     vocabulary = stage(terms.vocabulary(terms.inverse_frequency(counts, t.posts)), t.scratch("vocabulary"))
     cells = terms.encode_terms(counts, vocabulary, "index", keep=["idf"])
     return cells.select(

@@ -87,12 +87,17 @@ def term_counts(df: DataFrame, doc: str, tokens: Column, by: Sequence[str] = ())
     )
 
 
+def staged_counts(df: DataFrame, doc: str, tokens: Column, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`term_counts` as a stage, for weights: these use the counts several times and texts are cleaned once."""
+    return stage(term_counts(df, doc, tokens, by), scratch_path(df.sparkSession, "counts"))
+
+
 def inverse_frequency(counts: DataFrame, docs: DataFrame, by: Sequence[str] = (),
                       min_docs: int = 1) -> DataFrame:
     """df and ln((N + 1) / (df + 1)) per term, N being all documents of the period."""
     by = list(by)
-    # counting over tf keeps it in this plan, which then shares the shuffle of the
-    # counts with other uses instead of reading the texts again
+    # counting over tf keeps it in this plan, which then shares the shuffle of counts
+    # that are no stage with other uses instead of reading the texts again
     frequency = counts.groupBy(*by, "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     if min_docs > 1:
         frequency = frequency.filter(F.col("df") >= min_docs)

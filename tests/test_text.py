@@ -40,6 +40,12 @@ def test_key_terms_match_brute_force_wherever_hot_begins(spark, docs, monkeypatc
     assert got == dict(brute_key_terms(docs.collect()))
 
 
+def test_vectorised_terms_read_staged_counts_and_no_texts(spark):
+    from pulse.catalog import REGISTRY, Tables
+    cells = REGISTRY["vectorised_terms"].build(Tables(spark, "/root/testdata/sf0.001"))
+    assert cells.inputFiles() and not any("documents.parquet" in f for f in cells.inputFiles())
+
+
 def test_texts_without_terms_have_no_key_word(docs):
     weights = terms.tf_idf(docs, "id", clean_tokens(F.col("body"), ()), ["year"])
     keyed = {r.id: r.term for r in terms.best_terms(weights, "id", ["year"]).collect()}
