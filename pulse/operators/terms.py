@@ -120,8 +120,8 @@ def tf_idf(df: DataFrame, doc: str, tokens: Column, by: Sequence[str] = (),
     of the shuffle.
     """
     keys = [*by, "term"]
-    counts = term_counts(df, doc, tokens, by)
-    idf = inverse_frequency(counts, df, by, min_docs)
+    counts = staged_counts(df, doc, tokens, by)
+    idf = stage(inverse_frequency(counts, df, by, min_docs), scratch_path(df.sparkSession, "idf"))
     all_rows = idf.agg(F.sum("df")).scalar()
     split = idf.drop("n_docs").withColumn("is_hot", F.col("df") * HOT_TERMS >= all_rows)
     hot = F.broadcast(split.filter("is_hot").drop("is_hot"))

@@ -40,6 +40,13 @@ def test_key_terms_match_brute_force_wherever_hot_begins(spark, docs, monkeypatc
     assert got == dict(brute_key_terms(docs.collect()))
 
 
+def test_weights_read_staged_counts_and_no_texts(spark, docs, tmp_path):
+    folder = str(tmp_path / "texts")
+    docs.write.parquet(folder)
+    weights = terms.tf_idf(spark.read.parquet(folder), "id", clean_tokens(F.col("body"), ()), ["year"])
+    assert weights.inputFiles() and not any(folder in f for f in weights.inputFiles())
+
+
 def test_vectorised_terms_read_staged_counts_and_no_texts(spark):
     from pulse.catalog import REGISTRY, Tables
     cells = REGISTRY["vectorised_terms"].build(Tables(spark, "/root/testdata/sf0.001"))
