@@ -235,8 +235,7 @@ def groups(docs: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "other"), "b")
         return staged(both.where(_alike("one", "other")).select("a", "b"), "near-links")
 
-    edges = compared(near)
-    labels = staged(connected(edges), "near-labels")
+    labels = staged(connected(compared(near)), "near-labels")
     step, useful = 0, True
     while True:
         # Representatives go on as long as they link one in twenty pairs; the rest is met by rare shingles, once.
@@ -245,8 +244,9 @@ def groups(docs: DataFrame) -> DataFrame:
             break
         pairs = staged(found, "near-pairs")
         links = compared(pairs)
-        edges = edges.union(links)
-        labels = staged(connected(edges), "near-labels")
+        # A group so far is its smallest node, linked to all others: these links say as much as those that made it.
+        known = labels.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        labels = staged(connected(known.union(links)), "near-labels")
         if not useful:
             break
         useful = links.count() * 20 >= pairs.count()

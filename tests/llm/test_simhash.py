@@ -92,3 +92,28 @@ def test_empty_table(make_docs):
 def test_connected(spark, edges, roots):
     got = connected(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["root"] for r in got.collect()} == roots
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(3)
+    pairs = {(a, b) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(70)) if a < b}
+    root = {n: n for pair in pairs for n in pair}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = connected(spark.createDataFrame([*pairs, *pairs], "a long, b long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == root
+
+
+def test_plans_of_component_rounds_stay_small(spark, monkeypatch):
+    """A step reads the table of the step before twice; both steps in one plan read it twelve times."""
+    frame = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    leaves, checkpoint = [], type(frame).checkpoint
+
+    def counted(df, *args, **kwargs):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return checkpoint(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(frame), "checkpoint", counted)
+    assert {r["root"] for r in connected(frame).collect()} == {0}
+    assert leaves and max(leaves) <= 2
