@@ -5,11 +5,12 @@ each setting and fold. Here
 
 * feature stages are fitted once a fold and their vectors kept while it is searched;
 * a forest is the sum of its trees' votes, so the forests of 25, 50, ... 150 trees of one
-  depth and number of bins are the first trees of the same 150;
+  number of bins are the first trees of the same 150, and those of lesser depth are these
+  trees cut at that depth (:mod:`pulse.operators.forests`);
 * thresholds are applied to the scores of one fitted model;
 * all settings that share a fit are judged in one pass over the held-out rows.
 
-So the published grid of 120 forests costs 20 forests of the largest size, and one of 36
+So the published grid of 120 forests costs 5 forests of the largest size, and one of 36
 regressions costs 12. Scores are accuracies, averaged over folds; of equal settings the
 first in the grid wins.
 """
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 
 from pulse.functions.hashing import unit_hash
 from pulse.operators import learning
+from pulse.operators.forests import with_smaller_forests
 from pulse.operators.learning import FEATURES, FOLD, FOLDS, LABEL
 from pulse.session import use_checkpoints
 from pulse.sources.sinks import cached
 
-#: The parameter of each kind of model that needs no fit of its own.
-SHARED = {"forest": "numTrees", "text_forest": "numTrees", "logistic": "threshold"}
+#: The parameters of each kind of model that need no fit of their own.
+SHARED = {"forest": ("numTrees", "maxDepth"), "text_forest": ("numTrees", "maxDepth"), "logistic": ("threshold",)}
 
 
 @dataclass(frozen=True)
@@ -62,11 +64,12 @@ def settings_of(grid: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
 
-def _groups(kind: str, grid: Mapping[str, Sequence]) -> list[tuple[dict, list]]:
-    """What is fitted once, and the values of the shared parameter that it serves."""
-    shared = SHARED.get(kind)
-    own = {name: values for name, values in grid.items() if name != shared}
-    return [(setting, list(grid.get(shared, []))) for setting in settings_of(own)]
+def _groups(kind: str, grid: Mapping[str, Sequence]) -> list[tuple[dict, list[dict]]]:
+    """What is fitted once, and the values of the shared parameters that it serves."""
+    shared = SHARED.get(kind, ())
+    own = {name: values for name, values in grid.items() if name not in shared}
+    served = {name: values for name, values in grid.items() if name in shared}
+    return [(setting, settings_of(served)) for setting in settings_of(own)]
 
 
 def with_first_trees(rows: DataFrame, forest: JavaObject, counts: Sequence[int]) -> DataFrame:
@@ -88,22 +91,28 @@ def with_first_trees(rows: DataFrame, forest: JavaObject, counts: Sequence[int])
     return DataFrame(jvm_rows, rows.sparkSession)
 
 
-def _judged(train: DataFrame, held_out: DataFrame, kind: str, setting: Mapping, values: Sequence,
+def _judged(train: DataFrame, held_out: DataFrame, kind: str, setting: Mapping, served: Sequence[Mapping],
             seed: int) -> Iterator[tuple[dict, float]]:
     """Accuracy of every setting that one group of fits serves, from one pass over the held-out rows."""
-    shared = SHARED.get(kind)
-    if values and shared == "numTrees":
-        forest = learning.classifier(kind, seed, numTrees=max(values), **setting)._fit_java(train)
-        rows = with_first_trees(held_out, forest, values)
-        predictions = [F.col(f"p{i}") for i in range(len(values))]
+    if served[0] and kind != "logistic":
+        largest = {name: max(s[name] for s in served) for name in served[0]}
+        estimator = learning.classifier(kind, seed, **largest, **setting)
+        forest = estimator._fit_java(train)
+        sizes = [(s.get("numTrees", estimator.getNumTrees()), s.get("maxDepth", estimator.getMaxDepth())) for s in served]
+        if len({depth for _, depth in sizes}) == 1:
+            rows = with_first_trees(held_out, forest, [n for n, _ in sizes])
+            predictions = [F.col(f"p{i}") for i in range(len(sizes))]
+        else:
+            rows = with_smaller_forests(held_out, forest, sizes)
+            predictions = [F.col("predictions")[i] for i in range(len(sizes))]
     else:
         model = learning.classifier(kind, seed, **setting).fit(train)
         rows = model.transform(held_out)
-        score = vector_to_array("probability") if values else None
-        predictions = [(score[1] > t).cast("int") for t in values] if values else [F.col("prediction")]
+        score = vector_to_array("probability")[1] if served[0] else None
+        predictions = [(score > s["threshold"]).cast("int") if s else F.col("prediction") for s in served]
     right = rows.agg(*[F.avg((p == F.col(LABEL)).cast("double")).alias(f"a{i}") for i, p in enumerate(predictions)]).first()
-    for i, _ in enumerate(predictions):
-        yield (setting | {shared: values[i]} if values else dict(setting)), right[i] or 0.0
+    for i, s in enumerate(served):
+        yield {**setting, **s}, right[i] or 0.0
 
 
 def search(df: DataFrame, stages: Sequence, kind: str, grid: Mapping[str, Sequence], indexer: StringIndexerModel,
@@ -122,7 +131,7 @@ def search(df: DataFrame, stages: Sequence, kind: str, grid: Mapping[str, Sequen
     def held(fold: int, vectors: DataFrame) -> None:
         train, held_out = vectors.where(F.col(FOLD) != fold), vectors.where(F.col(FOLD) == fold)
 
-        def one(group: tuple[dict, list]) -> list[tuple[dict, float]]:
+        def one(group: tuple[dict, list[dict]]) -> list[tuple[dict, float]]:
             return list(_judged(train, held_out, kind, *group, seed))
 
         # As many groups at a time as threads, each with job properties of its own.

@@ -5,7 +5,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from pulse.operators import learning, tuning
+from pulse.operators import forests, learning, tuning
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,28 @@ def test_thresholds_of_one_fit_equal_fits_of_their_own(planted):
 def test_settings_without_a_shared_part(planted):
     found = searched(planted, "svm", {"regParam": [0.01, 100.0]})
     assert found.best == {"regParam": 0.01} and len(found.settings) == 2
+
+
+def test_forests_of_lesser_depth_are_cut_from_the_deepest(spark):
+    rows = spark.range(400).select(
+        "id", *[((F.col("id") * k) % 23 + F.col("id") % 3).cast("double").alias(f"x{k}") for k in (3, 5, 7)],
+        (F.xxhash64("id") % 5).cast("string").alias("outcome"))
+    stages = [learning.label_indexer(rows, "outcome"), *learning.feature_stages(["outcome"], [], ["x3", "x5", "x7"])[1:]]
+    stages[-1].setInputCols(["x3", "x5", "x7"])
+    rows = Pipeline(stages=stages).fit(rows).transform(rows).cache()
+    # one tree on all features has no choice of columns left, so each depth can be grown alone as well
+    deep = learning.classifier("forest", numTrees=1, maxDepth=6).setFeatureSubsetStrategy("all").fit(rows)
+    got = [r.predictions for r in forests.with_smaller_forests(
+        rows, deep._java_obj, [(1, d) for d in (0, 1, 3, 6)]).orderBy("id").collect()]
+    for i, depth in enumerate((0, 1, 3, 6)):
+        alone = learning.classifier("forest", numTrees=1, maxDepth=depth).setFeatureSubsetStrategy("all").fit(rows)
+        assert [p[i] for p in got] == [r.prediction for r in alone.transform(rows).orderBy("id").collect()]
+    many = learning.classifier("forest", numTrees=7, maxDepth=5).fit(rows)
+    first = tuning.with_first_trees(rows, many._java_obj, [7, 3]).orderBy("id").collect()
+    both = forests.with_smaller_forests(rows, many._java_obj, [(7, 5), (2, 2), (3, 5)]).orderBy("id").collect()
+    assert [(r.p0, r.p1) for r in first] == [(r.predictions[0], r.predictions[2]) for r in both]
+
+
+def test_a_grid_of_forests_is_grown_once_for_each_number_of_bins():
+    groups = {k: len(tuning._groups(k, grid)) for k, grid in learning.GRIDS.items()}
+    assert groups == {"forest": 5, "logistic": 12, "svm": 3, "text_forest": 3}
