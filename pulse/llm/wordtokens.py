@@ -1,8 +1,9 @@
 """Token ids of texts under a word-level byte-pair vocabulary file of the tokenizers library.
 
 White space never enters a token and no rule of the vocabulary looks across it,
-so a text is encoded word by word and words met before are taken from a memory
-of bounded size. A new word of plain Latin characters is normalised and split
+so a text is encoded word by word and words met lately are taken from a memory
+of bounded size: once half of it is full, the other half goes, but for words that
+are met again. A new word of plain Latin characters is normalised and split
 here by the vocabulary's own rules and merged by tiktoken: its rank table
 holds each token's bytes, with one byte that never occurs in UTF-8 as the
 end-of-word mark. Lowest rank first, leftmost first, is the order of the
@@ -17,14 +18,14 @@ from __future__ import annotations
 import json
 import re
 import sys
-import unicodedata
+from array import array
 
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 #: Words remembered by a task's process; each takes some 250 bytes.
-MEMORY = 400_000
+MEMORY = 120_000
 
 _END = b"\xff"
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -58,13 +59,16 @@ class WordEncoder:
                 ranks[core + _END if ended else core] = rank
         merges = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
         self._merge = merges._core_bpe.encode_single_piece
-        self._memory, self._pieces, self._most = {}, {}, memory
+        # Two halves: words met lately, and words met before these.
+        self._memory, self._older, self._pieces, self._most = {}, {}, {}, max(1, memory // 2)
+
+    def _merged(self, piece: str) -> bytes:
+        return array("I", self._merge(piece.encode() + _END)).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         known = self._pieces.get(piece)
         if known is None:
-            ids = self._merge(piece.encode() + _END)
-            known = b"".join([i.to_bytes(4, "little") for i in ids])
+            known = self._merged(piece)
             if len(self._pieces) >= self._most:
                 self._pieces.clear()
             self._pieces[piece] = known
@@ -73,12 +77,11 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word):
             return self._whole(word)
-        if word.isascii():
-            low = word.lower()
-        else:  # the library lower-cases one character at a time
-            low = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-        if low.isascii() and low.isalpha():
-            return self._piece(low)
+        low = word.lower()  # of these characters none composes with another or is lowered by its place
+        if low.isalpha():
+            return self._merged(low)
+        if low[:-1].isalpha():  # one mark or digit behind a word
+            return self._merged(low[:-1]) + self._piece(low[-1])
         return b"".join(map(self._piece, _SPLIT.findall(low)))
 
     def _whole(self, text: str) -> bytes:
@@ -96,10 +99,12 @@ class WordEncoder:
         except KeyError:
             new = {w for w in words if w not in memory}
             if len(memory) + len(new) > self._most:
-                memory.clear()
-                new = set(words)
+                self._older, self._memory = memory, {}
+                memory, new = self._memory, set(words)
+            older = self._older
             for word in new:
-                memory[word] = self._word(word)
+                known = older.get(word)
+                memory[word] = self._word(word) if known is None else known
             return b"".join([memory[w] for w in words])
 
 

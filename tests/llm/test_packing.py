@@ -1,6 +1,7 @@
 """Word encoding against the library; packings are complete, gapless and near the bound."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -28,6 +29,31 @@ def test_word_encoder_matches_the_library():
         assert encoder.encode(text) == ids_of(library, text)
 
 
+def test_every_plain_character_is_encoded_as_by_the_library():
+    encoder, library = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for c in map(chr, range(0x21, 0x250)):
+        for word in (c, f"a{c}", f"{c}a", f"Aa{c}", f"a{c}a", c + c, f"É{c}", f"'{c}", f"{c}9"):
+            assert encoder.encode(word) == ids_of(library, word), word
+
+
+def test_word_memory_is_bounded_and_keeps_common_words():
+    encoder, asked = WordEncoder(PATH, memory=100), []
+    word = encoder._word
+    encoder._word = lambda w: asked.append(w) or word(w)
+    for i in range(1000):
+        encoder.encode(f"common new{i} other{i}")
+    assert asked.count("common") == 1
+    assert len(asked) == 2001
+
+    encoder, letters = WordEncoder(PATH), str.maketrans("0123456789", "ghijklmnop")
+    tracemalloc.start()
+    for i in range(300):
+        encoder.encode(" ".join(f"{k:x}".translate(letters) for k in range(1000 * i, 1000 * i + 1000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 50e6
+
+
 def check(rows, capacity):
     sequences = defaultdict(list)
     for r in rows:
