@@ -3,7 +3,8 @@
 Trying every setting by itself fits the feature stages, and grows every tree, once for
 each setting and fold. Here
 
-* feature stages are fitted once a fold and their vectors kept while it is searched;
+* the leading feature stages that learn nothing (tokens, hashed counts) run once, on all rows;
+* other feature stages are fitted once a fold and their vectors kept while it is searched;
 * a forest is the sum of its trees' votes, so the forests of 25, 50, ... 150 trees of one
   number of bins are the first trees of the same 150, and those of lesser depth are these
   trees cut at that depth (:mod:`pulse.operators.forests`);
@@ -11,8 +12,9 @@ each setting and fold. Here
 * all settings that share a fit are judged in one pass over the held-out rows.
 
 So the published grid of 120 forests costs 5 forests of the largest size, and one of 36
-regressions costs 12. Scores are accuracies, averaged over folds; of equal settings the
-first in the grid wins.
+regressions costs 12. Forests keep the node of every row and tree from level to level
+(``cacheNodeIds``) and do not look it up from the root again; the trees are the same. Scores
+are accuracies, averaged over folds; of equal settings the first in the grid wins.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial
-from itertools import product
+from itertools import product, takewhile
 from multiprocessing.pool import ThreadPool
 
 from py4j.java_gateway import JavaObject
 from pyspark import SparkContext, inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -41,6 +43,9 @@ from pulse.sources.sinks import cached
 #: The parameters of each kind of model that need no fit of their own.
 SHARED = {"forest": ("numTrees", "maxDepth"), "text_forest": ("numTrees", "maxDepth"), "logistic": ("threshold",)}
 
+#: How each kind of model is grown, whatever the setting; its predictions do not depend on it.
+GROWN = {"forest": {"cacheNodeIds": True}, "text_forest": {"cacheNodeIds": True}}
+
 
 @dataclass(frozen=True)
 class Search:
@@ -72,6 +77,16 @@ def _groups(kind: str, grid: Mapping[str, Sequence]) -> list[tuple[dict, list[di
     return [(setting, settings_of(served)) for setting in settings_of(own)]
 
 
+def _inputs(stages: Sequence[Estimator | Transformer]) -> list[str]:
+    """The columns that stages read and none of them makes."""
+    def named(stage: Estimator | Transformer, *params: str) -> list[str]:
+        values = [stage.getOrDefault(p) for p in params if stage.hasParam(p) and stage.isDefined(p)]
+        return [c for v in values for c in ([v] if isinstance(v, str) else v)]
+
+    made = {c for s in stages for c in named(s, "outputCol", "outputCols")}
+    return list(dict.fromkeys(c for s in stages for c in named(s, "inputCol", "inputCols") if c not in made))
+
+
 def with_first_trees(rows: DataFrame, forest: JavaObject, counts: Sequence[int]) -> DataFrame:
     """Rows with the prediction of a fitted forest's first trees, for each wanted number of them (p0, p1, ...).
 
@@ -96,7 +111,7 @@ def _judged(train: DataFrame, held_out: DataFrame, kind: str, setting: Mapping,
     """Accuracy of every setting that one group of fits serves, from one pass over the held-out rows."""
     if served[0] and kind != "logistic":
         largest = {name: max(s[name] for s in served) for name in served[0]}
-        estimator = learning.classifier(kind, seed, **largest, **setting)
+        estimator = learning.classifier(kind, seed, **largest, **setting, **GROWN[kind])
         forest = estimator._fit_java(train)
         sizes = [(s.get("numTrees", estimator.getNumTrees()), s.get("maxDepth", estimator.getMaxDepth())) for s in served]
         if len({depth for _, depth in sizes}) == 1:
@@ -125,8 +140,11 @@ def search(df: DataFrame, stages: Sequence, kind: str, grid: Mapping[str, Sequen
     use_checkpoints(df.sparkSession)
     df = df.withColumn(FOLD, F.floor(unit_hash(F.col(key), seed, "fold") * folds).cast("int"))
     groups, scores = _groups(kind, grid), {}
-    features = Pipeline(stages=[indexer, *stages])
-    fitted = None if leak_free else features.fit(df)
+    stages = [indexer, *stages]
+    given = list(takewhile(lambda stage: not isinstance(stage, Estimator), stages))
+    learned = Pipeline(stages=stages[len(given):])
+    rows = PipelineModel(given).transform(df)
+    rows = rows.select(LABEL, FOLD, *(_inputs(learned.getStages()) or [FEATURES]))
 
     def held(fold: int, vectors: DataFrame) -> None:
         train, held_out = vectors.where(F.col(FOLD) != fold), vectors.where(F.col(FOLD) == fold)
@@ -141,14 +159,18 @@ def search(df: DataFrame, stages: Sequence, kind: str, grid: Mapping[str, Sequen
                 for setting, accuracy in found:
                     scores.setdefault(tuple(sorted(setting.items())), []).append(accuracy)
 
-    with cached(df):
+    with cached(rows):
+        fitted = None if leak_free else learned.fit(rows)
         for fold in range(folds):
-            stage = fitted or features.fit(df.where(F.col(FOLD) != fold))
-            vectors = stage.transform(df).select(LABEL, FEATURES, FOLD)
+            stage = fitted or learned.fit(rows.where(F.col(FOLD) != fold))
+            vectors = stage.transform(rows).select(LABEL, FEATURES, FOLD)
             with cached(vectors):
                 held(fold, vectors)
         settings = settings_of(grid)
         means = [sum(s) / len(s) for s in (scores[tuple(sorted(x.items()))] for x in settings)]
         best = settings[means.index(max(means))]
-        model = learning.fit(df.drop(FOLD), stages, learning.classifier(kind, seed, **best), indexer)
-    return Search(model, settings, means)
+        stage = fitted or learned.fit(rows)
+        vectors = stage.transform(rows).select(LABEL, FEATURES)
+        with cached(vectors):
+            model = learning.classifier(kind, seed, **best, **GROWN.get(kind, {})).fit(vectors)
+    return Search(PipelineModel([*given, *stage.stages, model, learning.label_names(indexer)]), settings, means)

@@ -1,7 +1,7 @@
 """Whole grids, with work shared between settings."""
 
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -83,3 +83,48 @@ def test_forests_of_lesser_depth_are_cut_from_the_deepest(spark):
 def test_a_grid_of_forests_is_grown_once_for_each_number_of_bins():
     groups = {k: len(tuning._groups(k, grid)) for k, grid in learning.GRIDS.items()}
     assert groups == {"forest": 5, "logistic": 12, "svm": 3, "text_forest": 3}
+
+
+class Counted(Transformer):
+    """A text as ``clean_text``, which learns nothing and counts the rows that it makes."""
+
+    def __init__(self, rows):
+        super().__init__()
+        self.rows = rows
+
+    def _transform(self, df):
+        rows = self.rows
+
+        @F.udf("string")
+        def counted(text):
+            rows.add(1)
+            return text
+
+        return df.withColumn("clean_text", counted("text"))
+
+
+@pytest.mark.parametrize("kind, grid", [
+    ("logistic", {"regParam": [0.1, 0.4], "threshold": [0.5]}), ("text_forest", {"numTrees": [2, 3], "maxDepth": [1, 2], "maxBins": [8, 16]})])
+def test_stages_that_learn_nothing_run_once_for_all_folds(spark, kind, grid):
+    rows = spark.range(200).select(
+        "id", F.concat_ws(" ", (F.col("id") % 2).cast("string"), F.lit("word"), (F.col("id") % 9).cast("string")).alias("text"),
+        F.when((F.xxhash64("id") % 5 == 0) | (F.col("id") % 2 == 0), "yes").otherwise("no").alias("outcome"))
+    made = spark.sparkContext.accumulator(0)
+    stages = [Counted(made), *learning.text_stages("clean_text", 50, 1)]
+    indexer = learning.label_indexer(rows, "outcome")
+    found = tuning.search(rows, stages, kind, grid, indexer, "id", folds=3)
+    assert made.value == 200
+    # the refitted model is the one that a pipeline of all stages gives
+    alone = learning.fit(rows, stages, learning.classifier(kind, **found.best), indexer)
+    got, wanted = ([r.prediction for r in m.transform(rows).orderBy("id").collect()] for m in (found.model, alone))
+    assert got == wanted and len(found.model.stages) == len(alone.stages)
+
+
+def test_forests_keep_the_nodes_of_rows_and_grow_the_same_trees(planted):
+    found = searched(planted, "forest", {"numTrees": [3], "maxDepth": [0, 4], "maxBins": [8]})
+    model = learning.classifier_of(found.model)
+    assert model.getCacheNodeIds()
+    alone = learning.fit(planted, learning.feature_stages(["kind"], ["kind"], ["x", "z"]),
+                         learning.classifier("forest", **found.best), learning.label_indexer(planted, "outcome"))
+    trees = [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in (model, learning.classifier_of(alone))]
+    assert trees[0] == trees[1]
